@@ -1,0 +1 @@
+"""Parcelon: streaming."""
