@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe_words, exact_dedup, packing, token_files
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_bpe_words": bpe_words.op4_bpe_words,
+    "op6_packing": packing.op6_packing,
+}
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
