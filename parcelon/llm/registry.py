@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe_words, exact_dedup, packing, token_files
+from . import bpe_words, exact_dedup, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_arc_to_warc": warc.op2_arc_to_warc,
     "op3_token_files": token_files.op3_token_files,
     "op4_bpe_words": bpe_words.op4_bpe_words,
     "op6_packing": packing.op6_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
+SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_arc_to_warc": warc.OP2_SQL,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
