@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_words, exact_dedup, packing, token_files, toxicity, warc
+from . import bpe_words, exact_dedup, near_dedup, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op4_bpe_words": bpe_words.op4_bpe_words,
     "op6_packing": packing.op6_packing,
+    "op7_odd_sketches": near_dedup.op7_odd_sketches,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
