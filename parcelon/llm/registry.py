@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_words, exact_dedup, fingerprints, near_dedup, packing, token_files, toxicity, warc
+from . import bpe_words, exact_dedup, fingerprints, near_dedup, packing, secrets, token_files, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_odd_sketches": near_dedup.op7_odd_sketches,
     "op8_weighted_sampling": fingerprints.op8_weighted_sampling,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
