@@ -43,9 +43,10 @@ SPAN = 50
 ANCHOR = 24
 REACH = SPAN - ANCHOR + 1
 HALF = REACH // 2
-#: Text bytes for a block; anchors and segment bytes for an owner; blocks that make an anchor hot.
+#: Text bytes for a block, for an owner of anchors, for an owner of segments; blocks that make an anchor hot.
 BLOCK_BYTES = 8 << 20
 OWNER_TEXT = 24 << 20
+OWNER_SEGMENTS = 4 << 20
 HOT_BLOCKS = 256
 
 _ODD = 0x9E3779B97F4A7C15
@@ -281,56 +282,77 @@ def send_segments(blocks: DataFrame, bits: int, owners: int) -> DataFrame:
 # -- the transform -----------------------------------------------------------------------------
 
 
+def leading(text: np.ndarray, width: int = 8) -> np.ndarray:
+    """The next bytes of each place as one number; zeros follow the end."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(width, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for i in range(width):
+        key <<= np.uint64(8)
+        key |= padded[i : i + n]
+    return key
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` bytes or more, by doubling from eight bytes."""
+    """Suffixes sorted by their first `depth` bytes or more, by doubling from eight bytes; only
+    groups of suffixes that are still equal are sorted again."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key, have = np.zeros(n, np.uint64), 8
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        fresh = np.r_[False, ranked[1:] != ranked[:-1]]
-        if have >= depth or fresh.sum() == n - 1:
-            return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(fresh).astype(np.uint64) + np.uint64(1)
-        after = np.zeros(n, np.uint64)
-        after[: n - have] = rank[have:]
-        key, have = (rank << np.uint64(32)) | after, have * 2
-
-
-def bounded_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
+    key = leading(text)
+    order = np.argsort(key)
+    ranked = key[order]
+    start = np.r_[True, ranked[1:] != ranked[:-1]]
+    have = 8
+    while have < depth:
+        group = np.flatnonzero(start)
+        size = np.diff(np.r_[group, n])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.repeat(group, size)
+        open_places = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(open_places):
+            break
+        mine = order[open_places]
+        after = mine + have
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        merged = (rank[mine].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+        by = np.argsort(merged)
+        order[open_places] = mine[by]
+        merged = merged[by]
+        start[open_places[1:]] |= merged[1:] != merged[:-1]
+        have *= 2
+    return order
+
+
+def bounded_prefixes(text: np.ndarray, order: np.ndarray, least: int, seed: int = 8) -> np.ndarray:
     """For each place of the suffix order: True if the suffix shares fewer than `least` bytes with
     the one before it.
 
-    Breadth-first backward extension: the interval of all suffixes is the first; the extensions of
-    an interval of step l by each byte before its suffixes are intervals of step l + 1. An end of
-    an extension that no shorter string has bounded yet is bounded now, and only such extensions
-    are kept.
+    Breadth-first backward extension: the first intervals are those of all strings of `seed`
+    bytes; the extensions of an interval of step l by each byte before its suffixes are intervals
+    of step l + 1. An end of an extension that no shorter string has bounded yet is bounded now,
+    and only such extensions are kept.
     """
     n = len(text)
     bwt = text[order - 1]  # the text before the first byte is its last one, as in a rotation
-    by_byte = np.argsort(bwt, kind="stable")
-    forward = np.empty(n, np.int64)  # where the suffix with the byte before it lies
-    forward[by_byte] = np.arange(n)
+    forward = np.empty(n, np.int32)  # where the suffix with the byte before it lies
+    forward[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     bound = np.zeros(n + 1, bool)
     bound[0] = bound[n] = True
-    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for _ in range(least):
+    key = leading(text, seed)[order]
+    bound[1:n] |= key[1:] != key[:-1]
+    edges = np.flatnonzero(bound).astype(np.int32)
+    low, high = edges[:-1], edges[1:]
+    for _ in range(seed, least):
         if not len(low):
             break
         size = high - low
-        starts = np.cumsum(size) - size
-        rows = np.repeat(low - starts, size) + np.arange(int(size.sum()))
-        of = np.repeat(np.arange(len(low)), size)
-        # Occurrences of one byte in one interval lie together in the suffix order.
-        target = forward[rows]
-        order_of = np.argsort(target)
-        target, of, byte = target[order_of], of[order_of], bwt[rows][order_of]
-        cut = np.r_[True, (of[1:] != of[:-1]) | (byte[1:] != byte[:-1])]
-        first = np.flatnonzero(cut)
+        rows = np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(int(size.sum()), dtype=np.int32)
+        of = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        # The intervals are disjoint and ascend, so ordering their places by byte, stably, orders
+        # the extensions, and those of one interval by one byte lie together.
+        byte = bwt[rows]
+        by = np.argsort(byte, kind="stable")
+        of, byte, target = of[by], byte[by], forward[rows[by]]
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (byte[1:] != byte[:-1])])
         low, high = target[first], target[np.r_[first[1:] - 1, len(target) - 1]] + 1
         fresh = ~bound[high]
         low, high = low[fresh], high[fresh]
@@ -445,7 +467,7 @@ def interval_dedup(docs: DataFrame, folder: str | None = None, give: str = "dige
     shared = shared_anchors(blocks, bits, owners).groupBy("block").agg(F.collect_list("shared").alias("shared"))
     ready = written(shared, folder, "shared")
     joined = blocks.join(ready, "block", "left")
-    sent = send_segments(joined, bits, owners)
+    sent = send_segments(joined, bits, parts_for(total, OWNER_SEGMENTS, least=8))
     found = sent.groupBy("owner").applyInArrow(resolve, "block long, answer binary")
     answers = written(found.groupBy("block").agg(F.collect_list("answer").alias("answers")), folder, "answers")
     values = give == "values"
