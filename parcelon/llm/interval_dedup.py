@@ -202,38 +202,35 @@ def shared_anchors(blocks: DataFrame, bits: int, owners: int) -> DataFrame:
 # -- segments --------------------------------------------------------------------------------
 
 
-def runs_of(key: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Maximal runs of equal keys among the wanted places: first, after the last."""
-    if not len(key):
-        return
-    edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (wanted[1:] != wanted[:-1])])
-    ends = np.r_[edge[1:], len(key)]
-    hit = wanted[edge]
-    yield from zip(edge[hit].tolist(), ends[hit].tolist(), strict=True)
-
-
-def segment_keys(data: np.ndarray, shared: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its key and whether its anchor is shared."""
+def segment_runs(data: np.ndarray, shared: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """Maximal runs of windows with the same shared anchor: key, first window, after the last."""
     anchor, every = window_anchors(data)
     if not len(anchor) or not len(shared):
-        return anchor, np.zeros(len(anchor), bool)
-    value = anchor >> np.uint64(64 - bits)
-    known = shared >> np.uint64(1)
+        return
+    edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    ends, key = np.r_[edge[1:], len(anchor)], anchor[edge]
+    value, known = key >> np.uint64(64 - bits), shared >> np.uint64(1)
     at = np.minimum(np.searchsorted(known, value), len(known) - 1)
     hit = known[at] == value
-    hot = np.flatnonzero(hit & ((shared[at] & np.uint64(1)) == 1))
-    if len(hot):
-        key, least = anchor.copy(), mixed(every)
-        place = np.full(len(hot), -1)
-        for o in range(REACH - 1, -1, -1):
-            place[least[hot + o] == anchor[hot]] = o
-        left = place >= HALF
-        wide = rolling(data, ANCHOR + HALF)
-        p = hot + place
-        beside = np.where(left, wide[np.where(left, p - HALF, 0)], wide[np.where(left, 0, np.minimum(p, len(wide) - 1))] + np.uint64(1))
-        key[hot] = mixed(beside)
-        return key, hit
-    return anchor, hit
+    hot = hit & ((shared[at] & np.uint64(1)) == 1)
+    hit &= ~hot
+    yield from zip(key[hit].tolist(), edge[hit].tolist(), ends[hit].tolist(), strict=True)
+    if hot.any():
+        yield from hot_runs(data, anchor, every, edge[hot], ends[hot])
+
+
+def hot_runs(data: np.ndarray, anchor: np.ndarray, every: np.ndarray, edge: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Runs of windows with a hot anchor, keyed by the anchor with the bytes before or after it."""
+    size = ends - edge
+    windows = np.repeat(edge - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    least, place = mixed(every), np.zeros(len(windows), np.int64)
+    for o in range(REACH - 1, -1, -1):
+        place[least[windows + o] == anchor[windows]] = o
+    wide, p = rolling(data, ANCHOR + HALF), windows + place
+    left = place >= HALF
+    beside = mixed(np.where(left, wide[np.where(left, p - HALF, 0)], wide[np.where(left, 0, p)] + np.uint64(1)))
+    cut = np.flatnonzero(np.r_[True, (beside[1:] != beside[:-1]) | (np.diff(windows) != 1)])
+    yield from zip(beside[cut].tolist(), windows[cut].tolist(), (windows[np.r_[cut[1:] - 1, len(windows) - 1]] + 1).tolist(), strict=True)
 
 
 def block_segments(batch: pa.RecordBatch, row: int, bits: int) -> tuple[dict, list]:
@@ -245,36 +242,50 @@ def block_segments(batch: pa.RecordBatch, row: int, bits: int) -> tuple[dict, li
     for number, (doc, data) in enumerate(documents_of(batch, row)):
         if doc is None or len(data) < SPAN:
             continue
-        key, hit = segment_keys(data, shared, bits)
         raw = data.tobytes()
-        for s, e in runs_of(key, hit):
-            name = (int(key[s]), raw[s : e + SPAN - 1])
+        for key, s, e in segment_runs(data, shared, bits):
+            name = (key, raw[s : e + SPAN - 1])
             entry = seen.get(name)
             if entry is None:
                 entry = seen[name] = [len(seen), doc, doc]
-            else:
-                entry[1], entry[2] = min(entry[1], doc), max(entry[2], doc)
+            elif doc < entry[1]:
+                entry[1] = doc
+            elif doc > entry[2]:
+                entry[2] = doc
             places.append((number, s, entry[0]))
     return seen, places
 
 
+def pack_table(values: np.ndarray) -> bytes:
+    """Signed numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_table(blob: bytes, rows: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8").reshape(rows, -1)
+
+
 def send_segments(blocks: DataFrame, bits: int, owners: int) -> DataFrame:
+    """Per block and owner: packed segments; and to the block itself (an owner below 0) the places."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                seen, _ = block_segments(batch, row, bits)
+                seen, places = block_segments(batch, row, bits)
                 if not seen:
                     continue
                 names, entries = list(seen), np.array(list(seen.values()), np.int64)
                 owner = np.fromiter((n[0] % owners for n in names), np.int64, len(names))
                 order = np.argsort(owner, kind="stable")
-                out, pack = [], zstandard.ZstdCompressor(level=3)
+                block = batch.column("block")[row].as_py()
+                out, pack = [pack_table(np.array(places, np.int64).T.copy())], zstandard.ZstdCompressor(level=1)
                 for run in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
                     sizes = np.array([len(names[i][1]) for i in run], np.int64)
                     head = np.concatenate([[len(run)], sizes, entries[run].T.reshape(-1)]).astype("<i8").tobytes()
                     out.append(pack.compress(head + b"".join([names[i][1] for i in run])))
-                ids = np.unique(owner)
-                yield pa.record_batch([pa.array(ids), pa.array([batch.column("block")[row].as_py()] * len(ids), pa.int64()), pa.array(out, pa.binary())], ["owner", "block", "packed"])
+                ids = np.r_[-1 - block, np.unique(owner)]
+                yield pa.record_batch([pa.array(ids), pa.array([block] * len(ids), pa.int64()), pa.array(out, pa.binary())], ["owner", "block", "packed"])
 
     return blocks.mapInArrow(send, "owner long, block long, packed binary")
 
@@ -386,6 +397,8 @@ _SHIFT = bytes([*range(1, 256), 255])
 
 def resolve(group: pa.Table) -> pa.Table:
     """Per block: (number, first window, windows, least document) of what its documents may lose."""
+    if group.column("owner")[0].as_py() < 0:
+        return pa.table({"block": group.column("block"), "places": pa.array([True] * len(group)), "answer": group.column("packed")})
     known: dict[bytes, int] = {}
     least: list[int] = []
     asked = []
@@ -421,23 +434,23 @@ def resolve(group: pa.Table) -> pa.Table:
         number, high = np.repeat(m[:, 1], count), np.repeat(m[:, 2], count)
         hit = run_min[row] < high
         table = np.stack([number[hit], run_start[row][hit], run_size[row][hit], run_min[row][hit]])
-        out.append(zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(table.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()))
-    return pa.table({"block": group.column("block"), "answer": pa.array(out, pa.binary())})
+        out.append(pack_table(table))
+    return pa.table({"block": group.column("block"), "places": pa.array([False] * len(out)), "answer": pa.array(out, pa.binary())})
 
 
 # -- results -----------------------------------------------------------------------------------
 
 
-def removed_of(batch: pa.RecordBatch, row: int, bits: int) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+def removed_of(batch: pa.RecordBatch, row: int) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
     """Each document of a block: id, bytes, mask of removed bytes."""
-    _, places = block_segments(batch, row, bits)
-    parts = []
-    for blob in batch.column("answers")[row].as_py() or ():
-        planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
-        parts.append(np.ascontiguousarray(planes.T).reshape(-1).view("<i8").reshape(4, -1))
-    runs = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+    parts, place = [np.zeros((4, 0), np.int64)], np.zeros((0, 3), np.int64)
+    for answer in batch.column("answers")[row].as_py() or ():
+        if answer["places"]:
+            place = unpack_table(answer["answer"], 3).T
+        else:
+            parts.append(unpack_table(answer["answer"], 4))
+    runs = np.concatenate(parts, axis=1)
     runs = runs[:, np.argsort(runs[0], kind="stable")]
-    place = np.array(places, np.int64).reshape(-1, 3)
     lo, hi = np.searchsorted(runs[0], place[:, 2]), np.searchsorted(runs[0], place[:, 2], "right")
     count = hi - lo
     at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -468,15 +481,15 @@ def interval_dedup(docs: DataFrame, folder: str | None = None, give: str = "dige
     ready = written(shared, folder, "shared")
     joined = blocks.join(ready, "block", "left")
     sent = send_segments(joined, bits, parts_for(total, OWNER_SEGMENTS, least=8))
-    found = sent.groupBy("owner").applyInArrow(resolve, "block long, answer binary")
-    answers = written(found.groupBy("block").agg(F.collect_list("answer").alias("answers")), folder, "answers")
+    found = sent.groupBy("owner").applyInArrow(resolve, "block long, places boolean, answer binary")
+    answers = written(found.groupBy("block").agg(F.collect_list(F.struct("places", "answer")).alias("answers")), folder, "answers")
     values = give == "values"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 out = []
-                for doc, data, gone in removed_of(batch, row, bits):
+                for doc, data, gone in removed_of(batch, row):
                     edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                     kept = data[~gone].tobytes()
                     last = (kept, edges.reshape(-1, 2).tolist()) if values else (hashlib.sha256(kept).hexdigest(),)
@@ -486,7 +499,7 @@ def interval_dedup(docs: DataFrame, folder: str | None = None, give: str = "dige
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept binary, spans array<array<long>>" if values else "kept_sha256 string")
-    return joined.join(answers, "block", "left").mapInArrow(cut, shape)
+    return blocks.join(answers, "block", "left").mapInArrow(cut, shape)
 
 
 def op5_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
