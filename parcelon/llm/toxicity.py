@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import table, text_of
 
 #: Most labelled rows that training reads, and most features of theirs that it weighs.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 5_000
 TRAIN_FEATURES = 20_000
 #: A feature is weighed from so many documents labelled 1; beginnings of words are features too.
 LEAST_DOCS = 3
@@ -100,21 +100,26 @@ class Model:
 def train(texts: list[str], labels: list[int]) -> Model:
     """Proximal gradient descent (Adam steps, then shrinking) on the log loss of documents
     through the noisy-or."""
-    seen: dict[str, list[int]] = {}
-    bags = [[set(words_of(s)) for s in sentences(t)] for t in texts]
-    for bag, y in zip(bags, labels, strict=True):
-        for f in {f for s in bag for w in s for f in features(w)}:
-            seen.setdefault(f, [0, 0])[y] += 1
+    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    for text, y in zip(texts, labels, strict=True):
+        mine = counts[y]
+        for f in {f for w in set(words_of(text)) for f in features(w)}:
+            mine[f] = mine.get(f, 0) + 1
     share = max(1, sum(labels)) / max(1, len(labels))
     # Features whose documents are labelled 1 more often than chance would have it come first.
-    rank = {f: (n[1] - share * sum(n)) / (share * (1 - share) * sum(n) + 1) ** 0.5 for f, n in seen.items() if n[1] >= LEAST_DOCS}
+    clean, rank = counts[0], {}
+    for f, n in counts[1].items():
+        if n >= LEAST_DOCS:
+            total = n + clean.get(f, 0)
+            rank[f] = (n - share * total) / (share * (1 - share) * total + 1) ** 0.5
+    del counts, clean
     vocab = {f: i for i, f in enumerate(sorted((f for f, r in rank.items() if r > 1), key=lambda f: (-rank[f], f))[:TRAIN_FEATURES])}
     if not vocab or len(set(labels)) < 2:
         return Model({}, -30.0)
     rows, cols, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = [vocab[f] for w in s for f in features(w) if f in vocab]
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            known = [vocab[f] for w in set(words_of(s)) for f in features(w) if f in vocab]
             rows += [len(doc)] * len(known)
             cols += known
             doc.append(d)
