@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, tokenizer_file, word_bpe
-from .common import parts_for, shared_dir, table, text_of, written
+from .common import bucketed, parts_for, shared_dir, table, text_of
 
 #: Text bytes for a block, and for an owner of words.
 BLOCK_BYTES = 8 << 20
@@ -135,9 +135,10 @@ def encode_decode(docs: DataFrame, spec: str, folder: str | None = None, text: s
     folder = folder or shared_dir(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-    blocks = written(split_blocks(rows, spec, parts_for(total, OWNER_BYTES, least=8)), folder, "blocks", "uncompressed")
+    owners = parts_for(total, OWNER_BYTES, least=8)
+    blocks = bucketed(split_blocks(rows, spec, owners), folder, "blocks", "block", owners)
     found = encode_words(blocks, spec).groupBy("block").agg(F.collect_list(F.struct("owner", "ids")).alias("found"))
-    joined = blocks.select("block", "doc_ids", "counts", "codes").join(found, "block", "left")
+    joined = blocks.select("block", "doc_ids", "counts", "codes").join(found.hint("merge"), "block", "left")
     values = give == "values"
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
