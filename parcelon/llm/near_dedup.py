@@ -7,11 +7,13 @@ estimates how many samples differ, precisely for high similarities. Candidates o
 verified by sketch first and then, always, on the full sets.
 
 Pairs within a key are never all made. In the first round each member meets the least member of
-its key only; the links found join most of a large group into one component. In the second round
-keys whose members still lie in several components compare members of different components:
-members outside a key's largest component are sent to every part of the key, members of the
-largest to one part each, so that each pair of different components meets and a large group is
-spread over many tasks.
+its key only; the links found join most of a large group into one component. In later rounds
+keys whose members still lie in several components compare the sketches of members of different
+components: members outside a key's largest component are sent to every part of the key, members
+of the largest to one part each, so that each pair of different components meets and a large group
+is spread over many tasks. A pair is a candidate in the first key that it shares only, and at
+first only the most similar candidates of a document are confirmed: mostly they join it to the
+component, which then needs no other pair. The last round confirms all that are left.
 
 Four samples a band and 32 bands miss a pair of similarity 0.85 with a probability of 6e-11, and
 the bound on the sketches is five standard deviations from what 0.85 gives.
@@ -41,12 +43,16 @@ SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BANDS, ROWS = 32, 4
-MINHASHES = BANDS * ROWS
+#: Samples; the first BANDS * ROWS of them make the bands, all of them the sketch.
+MINHASHES = 256
 #: Longs in an odd sketch, and most odd bits that two sets of PERCENT differ in (five sigma).
-SKETCH_LONGS = 8
-SKETCH_BITS = 74
+SKETCH_LONGS = 16
+SKETCH_BITS = 118
 #: Members of a key that meet in one part.
 PART_ROWS = 2000
+#: Candidates that a document outside its key's largest component sends on in each round; the
+#: last round has no limit, so that no pair of different components stays unseen.
+ROUNDS = (2, None)
 
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(0, 1 << 63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +118,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """(documents, BANDS) keys of (documents, MINHASHES) samples; a key belongs to its band only."""
-    parts = low.reshape(-1, BANDS, ROWS)
+    parts = low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for i in range(ROWS):
         key = mixed(key * _STEP + parts[:, :, i])
@@ -178,23 +184,36 @@ def sizes_fit(x: str, y: str):
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def cross_pairs(group: pa.Table) -> pa.Table:
+def cross_pairs(limit: int | None):
     """Candidate pairs of different components of the same key and part, by size and sketch."""
-    col = {n: group.column(n).to_numpy() for n in ("key", "part", "node", "root", "n_shingles", "home", "minor")}
-    odd = np.array(group.column("odd").to_pylist(), np.int64).reshape(-1, SKETCH_LONGS).view(np.uint64)
-    node, root, size = col["node"], col["root"], col["n_shingles"]
-    order = np.lexsort((col["part"], col["key"]))
-    cut = np.flatnonzero((np.diff(col["key"][order]) != 0) | (np.diff(col["part"][order]) != 0)) + 1
-    found = set()
-    for run in np.split(order, cut) if len(order) else []:
-        home = run[col["home"][run]]
-        for i in run[col["minor"][run]]:
-            rest = home[root[home] != root[i]]
-            rest = rest[(100 * size[i] >= PERCENT * size[rest]) & (100 * size[rest] >= PERCENT * size[i])]
-            rest = rest[np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1) <= SKETCH_BITS]
-            found.update((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in rest)
-    pairs = sorted(found)
-    return pa.table({"a": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())})
+
+    def find(group: pa.Table) -> pa.Table:
+        col = {n: group.column(n).to_numpy() for n in ("key", "part", "node", "root", "n_shingles", "home", "minor")}
+        wide = lambda name, kind: np.array(group.column(name).combine_chunks().flatten().to_numpy(), kind).reshape(len(group), -1)
+        odd, sig = wide("odd", np.int64).view(np.uint64), wide("sig", np.int32)
+        node, root, size = col["node"], col["root"], col["n_shingles"]
+        order = np.lexsort((col["part"], col["key"]))
+        cut = np.flatnonzero((np.diff(col["key"][order]) != 0) | (np.diff(col["part"][order]) != 0)) + 1
+        found = set()
+        for run in np.split(order, cut) if len(order) else []:
+            home = run[col["home"][run]]
+            for i in run[col["minor"][run]]:
+                rest = home[root[home] != root[i]]
+                rest = rest[(100 * size[i] >= PERCENT * size[rest]) & (100 * size[rest] >= PERCENT * size[i])]
+                bits = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1)
+                near = bits <= SKETCH_BITS
+                rest, bits = rest[near], bits[near]
+                # The band of this key; pairs that agree in an earlier one meet there.
+                band = int(np.argmax(sig[i] == np.int32(col["key"][i] & 0x7FFFFFFF)))
+                first = ~(sig[rest, :band] == sig[i, :band]).any(axis=1)
+                rest, bits = rest[first], bits[first]
+                if limit is not None and len(rest) > limit:
+                    rest = rest[np.argsort(bits, kind="stable")[:limit]]
+                found.update((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in rest)
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())})
+
+    return find
 
 
 def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -221,23 +240,28 @@ def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", k
     links = written(confirmed(pairs, wanted(texts, pairs)), folder, "first-links")
     roots = components(links, folder, "first")
 
-    # Second round: members of the same key that still lie in different components.
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed, folder, "placed")
-    per = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed_keys = per.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
-    mixed_keys = mixed_keys.select("key", F.col("top.root").alias("major"), F.ceil(F.col("total") / PART_ROWS).cast("int").alias("parts"))
-    open_rows = placed.join(mixed_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p)
-    spread = open_rows.withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), F.array("own")).otherwise(everywhere)))
-    spread = spread.select("key", "part", "node", "root", (F.col("part") == F.col("own")).alias("home"), (F.col("root") != F.col("major")).alias("minor"))
-    spread = spread.join(slim, "node")
-    several = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grouped = spread.withColumn("task", F.pmod(F.xxhash64("key", "part"), F.lit(16 * several))).groupBy("task").applyInArrow(cross_pairs, _PAIR)
-    more = written(grouped.distinct().join(pairs, ["a", "b"], "left_anti"), folder, "second-pairs")
-    extra = written(confirmed(more, wanted(texts, more)), folder, "second-links")
-    if extra.head(1):
-        roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(extra), folder, "second")
+    # Later rounds: members of the same key that still lie in different components.
+    low = F.transform("bands", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    sketch = nodes.select("node", "n_shingles", "odd", low.alias("sig"))
+    tasks = 16 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tried = pairs
+    for turn, limit in enumerate(ROUNDS, 2):
+        placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = written(placed, folder, f"placed-{turn}")
+        per = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+        open_keys = per.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+        open_keys = written(open_keys.select("key", F.col("top.root").alias("major"), F.ceil(F.col("total") / PART_ROWS).cast("int").alias("parts")), folder, f"open-{turn}")
+        rows = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        rows = rows.withColumn("minor", F.col("root") != F.col("major"))
+        rows = rows.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+        rows = rows.select("key", "part", "node", "root", (F.col("part") == F.col("own")).alias("home"), "minor").join(sketch, "node")
+        found = rows.withColumn("task", F.pmod(F.xxhash64("key", "part"), F.lit(tasks))).groupBy("task").applyInArrow(cross_pairs(limit), _PAIR)
+        more = written(found.distinct().join(tried, ["a", "b"], "left_anti"), folder, f"pairs-{turn}")
+        extra = written(confirmed(more, wanted(texts, more)), folder, f"links-{turn}")
+        tried = tried.union(more)
+        if extra.head(1):
+            old = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = components(old.union(extra), folder, f"components-{turn}")
 
     labelled = classes.where("node IS NOT NULL").join(roots, "node", "left").select(F.col("digest").alias("d"), F.coalesce("root", "node").alias("component"))
     joined = made.select("doc_id", "n_shingles", "digest").join(labelled, F.col("digest") == F.col("d"), "left")
@@ -247,7 +271,7 @@ def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", k
 
 def wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the nodes that occur in pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     return texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
 
 
