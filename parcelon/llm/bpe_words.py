@@ -136,7 +136,7 @@ def encode_decode(docs: DataFrame, spec: str, folder: str | None = None, text: s
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     owners = parts_for(total, OWNER_BYTES, least=8)
-    blocks = bucketed(split_blocks(rows, spec, owners), folder, "blocks", "block", owners)
+    blocks = bucketed(split_blocks(rows, spec, owners), folder, "blocks", "block", max(owners, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = encode_words(blocks, spec).groupBy("block").agg(F.collect_list(F.struct("owner", "ids")).alias("found"))
     joined = blocks.select("block", "doc_ids", "counts", "codes").join(found.hint("merge"), "block", "left")
     values = give == "values"
