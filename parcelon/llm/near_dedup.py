@@ -44,10 +44,10 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 32, 4
 #: Samples; the first BANDS * ROWS of them make the bands, all of them the sketch.
-MINHASHES = 256
+MINHASHES = 384
 #: Longs in an odd sketch, and most odd bits that two sets of PERCENT differ in (five sigma).
-SKETCH_LONGS = 16
-SKETCH_BITS = 118
+SKETCH_LONGS = 24
+SKETCH_BITS = 162
 #: Members of a key that meet in one part.
 PART_ROWS = 2000
 #: Candidates that a document outside its key's largest component sends on in each round; the
@@ -225,12 +225,14 @@ def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", k
     # One row per node: the class's least document.
     own = made.select("doc_id", "digest", "n_shingles", "bands", "odd").join(classes.where("node IS NOT NULL"), "digest").where("doc_id = node")
     nodes = written(own.dropDuplicates(["node", "digest"]).select("node", "n_shingles", "bands", "odd"), folder, "nodes")
-    texts = docs.select(F.col(key).cast("long").alias("node"), text_of(text).alias("text"))
-
     # First round: each member of a key with the key's least member.
     held = nodes.select("node", F.explode("bands").alias("key"))
     keys = held.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = written(held.join(keys, "key"), folder, "members")
+    # Texts of nodes that share a key move once, and alike at every size.
+    sharing = members.select(F.col("node").alias("n")).distinct()
+    texts = docs.select(F.col(key).cast("long").alias("node"), text_of(text).alias("text"))
+    texts = written(texts.join(sharing.hint("merge"), F.col("node") == F.col("n"), "left_semi"), folder, "texts")
     pairs = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     slim = nodes.select("node", "n_shingles", "odd")
     pairs = pairs.join(slim.toDF("a", "na", "oa"), "a").join(slim.toDF("b", "nb", "ob"), "b")
