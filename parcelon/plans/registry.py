@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import geometry_queries, rule_queries, version_queries
+
+QUERIES: dict = {**rule_queries.QUERIES, **geometry_queries.QUERIES, **version_queries.QUERIES}
+SQL: dict = {**rule_queries.SQL, **geometry_queries.SQL, **version_queries.SQL}
