@@ -98,15 +98,37 @@ def edited_texts(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def fingerprint_rows(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """texts: b, rn, kind, text. Returns b, rn, kind, fp (array of 16-bit values) of those with terms."""
-    terms = texts.select("b", "rn", "kind", F.explode(F.split("text", r"\s+")).alias("term")).where("term <> ''")
-    weights = terms.groupBy("b", (F.col("rn") * 2 + F.col("kind")).alias("d"), F.xxhash64("term").alias("x")).agg(F.count("*").alias("tf"))
-    shared = weights.groupBy("b", "x", "tf").agg(F.collect_list("d").alias("in"))
+    """texts: b, rn, text, edited. Returns b, rn, fp and efp: arrays of 16-bit values, null without terms.
+
+    Both texts begin alike. The whole words of that beginning are split and counted once, and a
+    term of equal weight in both texts is sampled once (kind 2) for the two.
+    """
+    cut = F.length("text") - F.floor(F.length("text") / 3).cast("int")
+    head = F.regexp_extract(F.substring(F.col("text"), F.lit(1), cut), r"(?s)^(.*\s)", 1)
+    parts = texts.withColumn("head", head)
+    rest = lambda c: F.substring(F.col(c), F.length("head") + 1, F.length(c))
+    three = F.array(F.struct(F.lit(2).alias("kind"), F.col("head").alias("t")), F.struct(F.lit(0).alias("kind"), rest("text").alias("t")), F.struct(F.lit(1).alias("kind"), rest("edited").alias("t")))
+    terms = parts.select("b", "rn", F.explode(three).alias("v")).select("b", "rn", "v.kind", F.explode(F.split("v.t", r"\s+")).alias("term")).where("term <> ''")
+    count = lambda other: F.count_if(F.col("kind") != other)
+    weights = terms.groupBy("b", "rn", F.xxhash64("term").alias("x")).agg(count(1).alias("own"), count(0).alias("new"))
+    told = lambda kind, tf: F.struct((F.col("rn") * 4 + kind).alias("d"), F.col(tf).alias("tf"))
+    own, new = told(0, "own"), told(1, "new")
+    kinds = F.when(F.col("own") == F.col("new"), F.array(told(2, "own"))).when(F.col("new") == 0, F.array(own)).when(F.col("own") == 0, F.array(new)).otherwise(F.array(own, new))
+    pairs = weights.select("b", "x", F.explode(kinds).alias("k")).select("b", "x", "k.d", "k.tf")
+    shared = pairs.groupBy("b", "x", "tf").agg(F.collect_list("d").alias("in"))
     drawn = shared.select("b", "in", "x", F.ln(F.col("tf").cast("double")).alias("w"))
     drawn = drawn.select("b", "in", F.array(*(sample(F.col("x"), F.col("w"), k) for k in range(samples))).alias("s"))
     each = drawn.select("b", "s", F.explode("in").alias("d"))
     least = each.groupBy("b", "d").agg(*(F.min(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(samples)))
-    return least.select("b", F.shiftright("d", 1).alias("rn"), F.col("d").bitwiseAND(F.lit(1)).alias("kind"), F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFF)) for k in range(samples))).alias("fp"))
+    least = least.select("b", F.floor(F.col("d") / 4).cast("int").alias("rn"), (F.col("d") % 4).alias("kind"), F.array(*(F.col(f"s{k}") for k in range(samples))).alias("s"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("s"))).alias(f"k{kind}")
+    both = least.groupBy("b", "rn").agg(of(0), of(1), of(2))
+
+    def joined(kind: str) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.least(F.get(F.col(kind), i), F.get(F.col("k2"), i)).bitwiseAND(F.lit(0xFFFF)))
+        return F.when(F.col(kind).isNotNull() | F.col("k2").isNotNull(), every)
+
+    return both.select("b", "rn", joined("k0").alias("fp"), joined("k1").alias("efp"))
 
 
 def shown(fp: Column) -> Column:
@@ -124,9 +146,8 @@ def fingerprints(docs: DataFrame, folder: str | None = None, samples: int = SAMP
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     rows = edited_texts(bucketed(docs, bucket_bytes, text, key), folder)
-    both = rows.select("b", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v")).select("b", "rn", "v.kind", "v.text")
-    made = fingerprint_rows(both, samples)
-    pair = made.groupBy("b", "rn").agg(F.max(F.when(F.col("kind") == 0, shown(F.col("fp")))).alias("fp"), F.max(F.when(F.col("kind") == 1, shown(F.col("fp")))).alias("efp"))
+    made = fingerprint_rows(rows.select("b", "rn", "text", "edited"), samples)
+    pair = made.select("b", "rn", shown(F.col("fp")).alias("fp"), shown(F.col("efp")).alias("efp"))
     base = rows.select("b", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"))
     before = {k: spark.conf.get(k) for k in SETTINGS}
     for k, v in SETTINGS.items():
