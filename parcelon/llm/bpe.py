@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Distinct words that a worker remembers; beyond it the memory is emptied and filled anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 #: Texts of these characters only take the faster standard-library pattern.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]*")

@@ -69,7 +69,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

@@ -61,7 +61,7 @@ class Weights(dict):
         self.known = known
 
     def __missing__(self, raw: str) -> float:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         self[raw] = found = sum(self.known.get(f, 0.0) for f in features(raw.strip(_EDGES)))
         return found
