@@ -129,7 +129,8 @@ def test_secrets(spark, none):
 
 
 def test_toxicity():
-    texts = [f"clean words number {i}. More of them." for i in range(60)] + [f"clean words {i}. You vile person." for i in range(60)]
+    # One word alone tells: words that always come with it would share its weight.
+    texts = [f"clean words number {i}. More of them." for i in range(60)] + [f"clean words number {i}. More vile w{i}." for i in range(60)]
     model = toxicity.train(texts, [0] * 60 + [1] * 60)
     assert model.score("A vile thing. Fine otherwise.") > 0.5 > model.score("Fine words.") and model.score("") == 0.0
     assert [s for s, _ in model.offending("All good. A vile thing.")] == [" A vile thing"]
