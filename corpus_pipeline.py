@@ -37,7 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
+    # The list of ids grows with the input: a merge join at every size, never a broadcast.
+    return docs.join(kept.select("id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

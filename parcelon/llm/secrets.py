@@ -156,7 +156,8 @@ def redact(docs: DataFrame, folder: str | None = None) -> DataFrame:
     value = F.regexp_replace("token", _LEAD, "")
     secrets = scan(docs, folder).where("is_secret").groupBy("doc_id").agg(F.collect_set(value).alias("secrets"))
     secrets = written(secrets.withColumnRenamed("doc_id", "owner"), folder, "secrets")
-    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("owner")), "left")
+    # The owners grow with the input: a merge join at every size, never a broadcast.
+    joined = docs.join(secrets.hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left")
     # Longer ones first, so that a secret within another does not break it.
     longest = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
