@@ -91,3 +91,19 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     b = b.select("b_id", "bx", "by", (F.floor(F.col("bx") / radius) + F.col("ox")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("oy")).alias("cy"))
     d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
     return a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).drop("cx", "cy")
+
+
+def ring_signature(points: Column) -> Column:
+    """SHA-256 of a ring (array of x, y; not closed) free of its start and direction.
+
+    The ring is turned to begin at its least vertex, then runs towards the lesser of the two
+    neighbours; coordinates enter with nine decimals. If the least vertex
+    repeats, the start is ambiguous, so callers leave such rings out.
+    """
+    n = F.size(points)
+    at = F.array_position(points, F.array_min(points)).cast("int")
+    ahead = F.concat(F.slice(points, at, n), F.slice(points, F.lit(1), at - 1))
+    # From the least vertex on backwards: the rest of the ring reversed.
+    back = F.concat(F.slice(ahead, 1, 1), F.reverse(F.slice(ahead, F.lit(2), n)))
+    shown = F.transform(F.least(ahead, back), lambda p: F.format_string("%.9f %.9f", p["x"], p["y"]))
+    return F.sha2(F.array_join(shown, ","), 256)
