@@ -1,4 +1,4 @@
-"""Readers of files: register(spark) makes the formats "dbf" and "shp" known to a session."""
+"""Readers of files: register(spark) makes the formats "dbf", "shp" and "gpkg" known to a session."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dbase import DbfSource
+from .geopackage import GpkgSource
 from .shapefile import ShpSource
 
 
 def register(spark: SparkSession) -> None:
-    for source in (DbfSource, ShpSource):
+    for source in (DbfSource, ShpSource, GpkgSource):
         spark.dataSource.register(source)
 
 
