@@ -4,14 +4,25 @@ Options: path, encoding (utf-8), deleted ("skip", or "keep" to get them flagged)
 partition). Records have one length, so a partition is a range of them and is read by seeking; the
 file must lie where every executor can open it. Columns: rec (place in the file, from 0), deleted,
 then each field as text without its padding. A truncated file fails.
+
+The writer takes text columns in the order of the option fields ("name:bytes,..."); rec and deleted
+are left out if they are no fields. Tasks write parts beside the target, in a folder that all
+executors share, and the commit appends them to one file in the order of the partitions. Text that
+does not fit its field fails rather than be cut, and so does a file that is there already, unless
+the mode is overwrite.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark import TaskContext
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 _HEADER = struct.Struct("<4xIHH20x")
@@ -67,6 +78,62 @@ class DbfReader(DataSourceReader):
                 yield (rec, gone, *values)
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    partition: int
+    path: str
+    rows: int
+
+
+class DbfWriter(DataSourceWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        self.path = options["path"].removeprefix("file://")
+        self.encoding = options.get("encoding", "utf-8")
+        pairs = [f.rsplit(":", 1) for f in options["fields"].split(",")]
+        self.fields = [(name.strip(), int(size)) for name, size in pairs]
+        wrong = [name for name, size in self.fields if len(name.encode("ascii")) > 10 or not 0 < size < 255]
+        if wrong:
+            raise ValueError(f"fields that dBASE can't hold: {wrong}")
+        if not overwrite and os.path.exists(self.path):
+            raise FileExistsError(self.path)
+        self.parts = f"{self.path}.parts-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator) -> Part:
+        os.makedirs(self.parts, exist_ok=True)
+        # Each attempt has a file of its own; the commit reads those that succeeded.
+        number, rows = TaskContext.get().partitionId(), 0
+        path = f"{self.parts}/{number}-{uuid.uuid4().hex}"
+        with open(path, "xb") as file:
+            for row in iterator:
+                file.write(b" ")
+                for name, size in self.fields:
+                    value = ("" if row[name] is None else str(row[name])).encode(self.encoding)
+                    if len(value) > size:
+                        raise ValueError(f"{name}: over {size} bytes")
+                    file.write(value.ljust(size))
+                rows += 1
+        return Part(number, path, rows)
+
+    def commit(self, messages: list) -> None:
+        parts = sorted((m for m in messages if m), key=lambda m: m.partition)
+        rows, width = sum(p.rows for p in parts), 1 + sum(size for _, size in self.fields)
+        whole = f"{self.path}.{uuid.uuid4().hex}"
+        with open(whole, "xb") as file:
+            file.write(struct.pack("<B3xIHH20x", 3, rows, _HEADER.size + _FIELD.size * len(self.fields) + 1, width))
+            for name, size in self.fields:
+                file.write(_FIELD.pack(name.encode("ascii"), b"C", size))
+            file.write(b"\r")
+            for part in parts:
+                with open(part.path, "rb") as body:
+                    shutil.copyfileobj(body, file, 1 << 20)
+            file.write(b"\x1a")
+        os.replace(whole, self.path)
+        shutil.rmtree(self.parts, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.parts, ignore_errors=True)
+
+
 class DbfSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -78,3 +145,9 @@ class DbfSource(DataSource):
 
     def reader(self, schema: StructType) -> DbfReader:
         return DbfReader(dict(self.options))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DbfWriter:
+        missing = {f.rsplit(":", 1)[0].strip() for f in self.options["fields"].split(",")} - set(schema.names)
+        if missing:
+            raise ValueError(f"no such columns: {sorted(missing)}")
+        return DbfWriter(dict(self.options), overwrite)

@@ -74,3 +74,20 @@ def test_other_files_fail(readers, tmp_path):
     (tmp_path / "a.shx").write_bytes(b"\0" * 200)
     with pytest.raises(Exception, match="not a shapefile"):
         readers.format("shp").load(str(tmp_path / "a.shp")).collect()
+
+
+def test_dbf_writer_round_trip(spark, readers, tmp_path):
+    path = tmp_path / "out.dbf"
+    rows = [(f"{i:05d}", "é" if i % 2 else None) for i in range(7)]
+    df = spark.createDataFrame(rows, "code string, name string").orderBy("code").repartitionByRange(3, "code")
+    save = lambda frame, mode="append", fields="code:5,name:10": frame.write.format("dbf").option("path", str(path)).option("fields", fields).mode(mode).save()
+    save(df)
+    found = spark.read.format("dbf").option("path", str(path)).load().orderBy("rec").collect()
+    assert [(r["rec"], r["code"], r["name"]) for r in found] == [(i, c, n or "") for i, (c, n) in enumerate(rows)]
+    with pytest.raises(Exception, match="FileExists|exists"):
+        save(df)
+    with pytest.raises(Exception, match="over 4 bytes"):
+        save(df, "overwrite", "code:4")
+    save(df.where("code = 'x'"), "overwrite")
+    assert spark.read.format("dbf").option("path", str(path)).load().count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["out.dbf"]
