@@ -1,7 +1,10 @@
 """Secret scans: a random forest removes the false positives of a broad pattern (DataFrame
 operations only; the forest is the one of Spark's own ML library).
 
-Candidates are runs of at least MIN_LENGTH key characters that hold a digit. Each has its length,
+Candidates are runs of at least MIN_LENGTH key characters, and of any length those that begin with
+a known head and the values that a FOR_WORD names ("password=x", "token: 'x'", "the secret is x").
+A named value runs to its closing quote or to white space, unquoted also to one of <>,;|& and so may
+hold other characters than keys do; spaces end it. Each has its length,
 the rates of its characters and of the transitions between their classes, the number of distinct
 characters, the share that dictionary words cover, whether it lies in a path or an address, and
 what the words beside it say. The forest is trained from labelled findings: FINDINGS of them are
@@ -32,8 +35,6 @@ TREES, DEPTH, SEED = 30, 8, 9
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
 
-_RUN = "A-Za-z0-9+/_=-"
-PATTERN = rf"(?<![{_RUN}])(?=[{_RUN}]*[0-9])[{_RUN}]{{{MIN_LENGTH},}}"
 #: What may stand around a key, and so is no part of it.
 _LEAD = r"^[^\s]*?=(?=[^=])"
 
@@ -41,9 +42,24 @@ _LEAD = r"^[^\s]*?=(?=[^=])"
 #: key is not made of.
 FOR_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "credential", "auth", "bearer", "private_key", "key"]
 AGAINST_WORDS = ["commit", "sha", "md5", "checksum", "digest", "uuid", "guid", "id", "hash", "version", "build", "phone", "card", "iban", "order", "isbn", "example"]
+KNOWN_HEAD = "(?:AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|sk-|AIza|eyJ|glpat-)"
 DICTIONARY = ["the", "and", "ing", "ion", "ent", "ter", "example", "test", "user", "data", "name", "file", "path", "home", "index", "page", "http", "www", "com", "net", "org", "html", "image", "config", "local", "version", "this", "that", "with", "from", "your", "key", "value", "sample", "dummy", "placeholder", "changeme", "xxxx", "abcd", "1234", "0000"]
 FEATURES = ["length", "digits", "uppers", "lowers", "others", "digit_letter", "case_change", "distinct", "hex", "covered", "vowels", "repeats", "path", "url", "dashes", "for_words", "against_words", "quoted", "assigned", "known_head"]
 
+_RUN, _NAME = "A-Za-z0-9+/_=-", "A-Za-z0-9+/_.-"
+_WORD = "(?i:" + "|".join(FOR_WORDS) + ")"
+_QUOTE = "[\"'`]"
+_SET = rf"{_QUOTE}?\s{{0,3}}[=:]{{1,3}}>?\s{{0,3}}"
+_ASSIGNED = rf"[A-Za-z0-9_-]{{0,40}}{_SET}(?:(?i:bearer|basic)\s{{1,3}})?"
+#: Told without a sign between; what follows may not be a name that is assigned to itself.
+_SAID = rf"s?\s{{1,3}}(?:{_WORD}s?\s{{1,3}}){{0,3}}(?:(?:is|was)\s{{1,3}})?(?![{_NAME}]{{0,80}}?{_WORD}[A-Za-z0-9_-]{{0,40}}{_QUOTE}?\s{{0,3}}[=:])"
+_NAMED = rf"[{_NAME}]*?{_WORD}(?:{_ASSIGNED}|{_SAID})"
+_VALUE = rf"(?:{_QUOTE}[^\s\"'`]+|[^\s\"'`<>,;|&]+(?<![.:?)\]}}]))"
+PATTERN = rf"(?<![{_NAME}]){_NAMED}{_VALUE}|(?<![{_RUN}])(?:{KNOWN_HEAD}[{_RUN}]+|[{_RUN}]{{{MIN_LENGTH},}})"
+#: A name before a candidate that is no part of it; "name=value" is one token, as any run is.
+_APART = rf"^({_NAMED}{_QUOTE}?)[^\s\"'`]+$"
+_JOINED = rf"^[{_NAME}]*?{_WORD}[A-Za-z0-9_-]{{0,40}}=[^\s\"'`=>]"
+
 
 def _count(token: Column, pattern: str) -> Column:
     return F.regexp_count(token, F.lit(pattern)).cast("double")
@@ -64,7 +80,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "others": _count(t, "[+/_=-]") / n,
         "digit_letter": _count(t, "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])") / n,
         "case_change": _count(t, "[a-z](?=[A-Z])|[A-Z](?=[a-z])") / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(t, 1, 256), ""))) / F.least(n, F.lit(64.0)),
+        "distinct": F.size(F.array_distinct(F.split(t, ""))) / F.least(n, F.lit(64.0)),
         "hex": F.when(low.rlike("^[0-9a-f]+$"), 1.0).otherwise(0.0),
         "covered": covered / n,
         "vowels": _count(low, "[aeiou]") / n,
@@ -76,17 +92,27 @@ def with_features(found: DataFrame) -> DataFrame:
         "against_words": F.when(near.rlike(r"\b(" + "|".join(AGAINST_WORDS) + r")\b"), 1.0).otherwise(0.0),
         "quoted": F.when(b.rlike("[\"'`]$"), 1.0).otherwise(0.0),
         "assigned": F.when(b.rlike("[=:]\\s*[\"'`]?$") | low.rlike("^[a-z_]+="), 1.0).otherwise(0.0),
-        "known_head": F.when(t.rlike("^(AKIA|ASIA|ghp_|gho_|xox[bp]-|sk_live_|sk-|AIza|eyJ|glpat-)"), 1.0).otherwise(0.0),
+        "known_head": F.when(t.rlike("^" + KNOWN_HEAD), 1.0).otherwise(0.0),
     }
     return found.select("*", *(values[k].cast("double").alias(k) for k in FEATURES))
 
 
 def candidates(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per candidate: row, doc_id, n, start (code points), token, before, after; a written table."""
+    """Per candidate: row, doc_id, n, start (code points), token, lead (characters of it that are no
+    part of the key), before, after; a written table."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), text_of(text).alias("t"))
     rows = rows.where(F.col("t").rlike(PATTERN))
     rows = rows.select("row", "doc_id", F.regexp_extract_all("t", F.lit(PATTERN), 0).alias("tokens"), F.split("t", PATTERN, -1).alias("gaps"))
-    pieces = F.transform("tokens", lambda x, i: F.struct(i.alias("n"), x.alias("token"), F.length(F.get("gaps", i)).alias("gap"), F.substring(F.get("gaps", i), -48, 48).alias("before"), F.substring(F.get("gaps", i + 1), 1, 24).alias("after")))
+    name = lambda x: F.when(x.rlike(_JOINED), "").otherwise(F.regexp_extract(x, _APART, 1))
+    parts = F.transform("tokens", lambda x: F.struct(name(x).alias("name"), x.alias("found")))
+    rows = rows.select("row", "doc_id", "gaps", parts.alias("parts"))
+
+    def piece(p: Column, i: Column) -> Column:
+        token, gap = F.substring(p["found"], F.length(p["name"]) + 1, F.length(p["found"])), F.concat(F.get("gaps", i), p["name"])
+        lead = F.when(p["name"] == "", F.length(F.regexp_extract(token, _LEAD, 0))).otherwise(0)
+        return F.struct(i.alias("n"), token.alias("token"), lead.alias("lead"), F.length(gap).alias("gap"), F.substring(gap, -48, 48).alias("before"), F.substring(F.get("gaps", i + 1), 1, 24).alias("after"))
+
+    pieces = F.transform("parts", piece)
     found = written(rows.select("row", "doc_id", F.explode(pieces).alias("c")).select("row", "doc_id", "c.*"), folder, "candidates")
     order = Window.partitionBy("row").orderBy("n")
     start = F.sum(F.col("gap") + F.length("token")).over(order) - F.length("token")
@@ -106,11 +132,16 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     upper = F.upper(F.translate(F.substring(b64, 5, 40), "+/=01", "QWERT"))
     plain = F.regexp_replace(b64, "[+/=]", "")
     word = F.concat(*(_pick(["tion", "er", "the", "an", "re", "in", "ment", "ique", "schaft", "ado", "ciones", "elle"], u(20 + i)) for i in range(7)))
+    # Digits as letters: keys that hold none.
+    solid, letters = F.translate(plain, "0123456789", "gTbXqLzRmK"), F.translate(upper, "23456789", "GTBXZLMK")
+    brief = _pick(["sunny", "hunter", "garden", "letter", "river", "dragon", "monkey", "winter", "house", "street", "difference", "holder", "point", "board", "Haus", "maison", "casa", "welcome", "summer", "tiger"], u(27))
     filler = _pick(["of the ", "und ", "les ", "de ", "was in ", "to an ", "ist ", "para "], u(1))
     says = _pick([*FOR_WORDS[:12], "Password", "API_KEY", "TOKEN", "aws_secret_access_key"], u(2))
     joint = _pick(["=", " = ", ": ", "=\"", " = \"", ": \"", " ", " is "], u(3))
     told = F.concat(filler, says, joint)
+    signed = _pick(["=", " = ", ": ", "=\"", " = \"", ": \""], u(28))
     size = lambda k, low, high: (F.pmod(u(k), F.lit(high - low + 1)) + low).cast("int")
+    long = F.substring(F.concat(word, F.lit("ungsplan"), word), F.lit(1), size(34, 16, 36))
     made = [
         (F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), F.when(F.pmod(u(4), F.lit(3)) == 0, told).otherwise(filler), 1),
         (F.substring(hexed, F.lit(1), size(5, 16, 64)), told, 1),
@@ -125,6 +156,24 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (F.concat(_pick(["example", "your_key_here", "changeme", "xxxxxxxxxxxxxxxx", "placeholder", "AKIAXXXXXXXXEXAMPLE"], u(15)), F.lit("_1234567890")), F.when(F.pmod(u(16), F.lit(2)) == 0, told).otherwise(filler), 0),
         (F.concat(word, F.lit("-"), F.pmod(u(17), F.lit(100000)).cast("string")), F.concat(filler, F.lit("https://www.")), 0),
         (F.concat(F.lit("--------"), F.pmod(u(18), F.lit(10)).cast("string"), F.lit("----------")), filler, 0),
+        # Without a digit.
+        (F.concat(F.lit("AKIA"), F.substring(letters, 1, 16)), F.when(F.pmod(u(30), F.lit(3)) == 0, told).otherwise(filler), 1),
+        (F.substring(solid, F.lit(1), size(31, 16, 40)), told, 1),
+        (F.concat(_pick(["ghp_", "sk_live_", "xoxb-", "glpat-"], u(32)), F.substring(solid, F.lit(1), size(33, 8, 40))), filler, 1),
+        (F.when(F.pmod(u(50), F.lit(4)) == 0, F.upper(long)).when(F.pmod(u(50), F.lit(4)) == 1, F.initcap(long)).otherwise(long), filler, 0),
+        (F.concat(F.lit("/"), brief, F.lit("/"), word, F.lit("/"), brief), filler, 0),
+        (F.concat(brief, F.lit("-"), word, F.lit("-"), brief), filler, 0),
+        (F.concat(_pick(["aws_secret_access_key", "private_key_of_the_user", "get_access_token_from", "--password-from-file", "AuthenticationToken"], u(35)), F.lit("_"), brief), filler, 0),
+        (F.repeat(_pick(["-", "=", "_", "/", "x", "-="], u(36)), size(37, 16, 60)), filler, 0),
+        # Shorter than MIN_LENGTH, named by a word: keys, then words that only stand there.
+        (F.substring(plain, F.lit(1), size(38, 6, 15)), told, 1),
+        (F.substring(solid, F.lit(1), size(39, 8, 15)), F.concat(filler, says, signed), 1),
+        (F.concat(brief, F.pmod(u(40), F.lit(10000)).cast("string"), _pick(["", "!", "#", "$x"], u(41))), told, 1),
+        (F.concat(F.lower(says), F.lit("="), F.when(F.pmod(u(42), F.lit(2)) == 0, brief).otherwise(F.substring(plain, F.lit(1), size(43, 4, 12)))), filler, 1),
+        (brief, F.concat(filler, says, _pick(['="', '= "', ' = "', "='"], u(44))), 1),
+        (brief, F.concat(filler, says, _pick([" ", " is ", ": "], u(45))), 0),
+        (_pick(["the", "of", "a", "in", "to", "for", "and", "und", "is", "or", "must", "required", "null", "None", "true", "string", "value", "example", "changeme", "xxxx", "****", "...", "-"], u(46)), told, 0),
+        (F.concat(_pick(["get_", "self.", "os.environ[", "config.", "$"], u(47)), brief, _pick(["()", "", "(x)"], u(48))), F.concat(filler, says, _pick(["=", " = ", ": "], u(49))), 0),
     ]
     kind = F.pmod(u(0), F.lit(len(made)))
     choose = lambda place: reduce(lambda rest, i: F.when(kind == i, made[i][place]).otherwise(rest), range(len(made)), F.lit(""))
@@ -141,26 +190,37 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomFo
     return forest.fit(assembled(findings).select("features", "label"))
 
 
-def scan(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per candidate: doc_id, n, start, token, score, is_secret."""
+def scored(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per candidate: doc_id, n, start, token, lead, score, is_secret."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     model = fit(labelled_findings(spark) if findings is None else findings)
-    scored = model.transform(assembled(candidates(docs, folder, text, key)))
-    return scored.select("doc_id", "n", "start", "token", vector_to_array("probability")[1].alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    found = model.transform(assembled(candidates(docs, folder, text, key)))
+    return found.select("doc_id", "n", "start", "token", "lead", vector_to_array("probability")[1].alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+
+
+def scan(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per candidate: doc_id, n, start, token, score, is_secret."""
+    return scored(docs, folder, findings, threshold, text, key).drop("lead")
+
+
+def _without(text: Column, secret: Column) -> Column:
+    """A short secret goes where it stands alone, not within other words."""
+    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(secret, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    return F.when(F.length(secret) < MIN_LENGTH, F.regexp_replace(text, quoted, F.lit(REDACTED))).otherwise(F.replace(text, secret, F.lit(REDACTED)))
 
 
 def redact(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The documents with each secret replaced; n_chars follows the text."""
     folder = folder or shared_dir(docs.sparkSession)
-    value = F.regexp_replace("token", _LEAD, "")
-    secrets = scan(docs, folder).where("is_secret").groupBy("doc_id").agg(F.collect_set(value).alias("secrets"))
+    value = F.substring("token", F.col("lead") + 1, F.length("token"))
+    secrets = scored(docs, folder).where("is_secret").groupBy("doc_id").agg(F.collect_set(value).alias("secrets"))
     secrets = written(secrets.withColumnRenamed("doc_id", "owner"), folder, "secrets")
     # The owners grow with the input: a merge join at every size, never a broadcast.
     joined = docs.join(secrets.hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left")
     # Longer ones first, so that a secret within another does not break it.
     longest = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
+    text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), _without))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
