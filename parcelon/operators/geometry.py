@@ -64,6 +64,25 @@ def point_segment_distance(px: Column, py: Column) -> Column:
     return F.hypot(px - F.col("x0") - t * dx, py - F.col("y0") - t * dy)
 
 
+def densified(segments: DataFrame, spacing: float) -> DataFrame:
+    """ring, px, py, step: places along every segment no further apart than the spacing; a ring's
+    last segment also gives its end, so that the closing place counts twice."""
+    last = F.max("seq").over(Window.partitionBy("ring"))
+    n = F.greatest(F.lit(1), F.ceil(F.round(length(), 6) / spacing)).cast("long")
+    f = segments.withColumn("last", last).withColumn("n", n).withColumn("len", length())
+    f = f.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.when(F.col("seq") < F.col("last"), 1).otherwise(0))))
+    at = lambda c: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("i") / F.col("n")
+    return f.select("ring", "seq", "i", at("x").alias("px"), at("y").alias("py"), (F.col("len") / F.col("n")).alias("step"))
+
+
+def boundary_distance(segments: DataFrame, targets: DataFrame, spacing: float) -> DataFrame:
+    """ring, samples, most, bound: the largest distance of a ring's densified boundary from the
+    target segments of the same number, and a bound for the places between the samples."""
+    j = densified(segments, spacing).join(targets.drop("seq"), "ring")
+    d = j.groupBy("ring", "seq", "i").agg(F.first("step").alias("step"), F.min(point_segment_distance(F.col("px"), F.col("py"))).alias("d"))
+    return d.groupBy("ring").agg(F.count("*").alias("samples"), F.max("d").alias("most"), (F.max("d") + F.max("step") / 2).alias("bound"))
+
+
 def cells(low: Column, high: Column, size: float) -> Column:
     """Numbers of the grid cells that a range touches."""
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))

@@ -259,6 +259,17 @@ def point_segment_distance(spark, sf):
     return s.where("seq = 2").join(first, "ring").select("ring", F.round(G.point_segment_distance(F.col("px"), F.col("py")), 6).alias("d"))
 
 
+_T = "CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE least(1, greatest(0, ((px - x0) * dx + (py - y0) * dy) / nullif(dx * dx + dy * dy, 0))) END"
+
+
+@query(_S + f", d AS (SELECT v.ring, v.seq, s.seq AS segment, v.x AS px, v.y AS py, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM v JOIN s USING (ring)), t AS (SELECT *, {_T} AS t FROM d) SELECT ring, seq, segment, round(sqrt((px - x0 - t * dx) ** 2 + (py - y0 - t * dy) ** 2), 6) AS d FROM t")
+def vertex_segment_distances(spark, sf):
+    """Every vertex of a ring and every segment of it, where point_segment_distance takes one pair."""
+    s = ring_segments(spark, sf).withColumnRenamed("seq", "segment")
+    v = vertices(spark, sf)
+    return v.join(s, "ring").select("ring", "seq", "segment", F.round(G.point_segment_distance(F.col("x"), F.col("y")), 6).alias("d"))
+
+
 _VV = f"WITH {VERTICES_SQL} SELECT a.ring, CAST(a.seq AS INTEGER) AS i, CAST(b.seq AS INTEGER) AS j, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS d FROM v a JOIN v b ON a.ring = b.ring AND b.seq >= a.seq + 2 JOIN (SELECT ring, max(seq) AS n FROM v GROUP BY ring) m ON m.ring = a.ring WHERE NOT (a.seq = 1 AND b.seq = n)"
 
 

@@ -215,6 +215,18 @@ def densify_distance(spark, sf):
     return d.groupBy("ring").agg(F.count("*").alias("samples"), F.round(F.max("d"), 6).alias("most"), F.round(F.max("d") + F.first("step") / 2, 6).alias("bound"))
 
 
+@query(f"""WITH {SEGMENTS_SQL}, f AS (SELECT ring, seq, x0 AS ax, y0 AS ay, x1 AS ex, y1 AS ey, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS len, CAST(greatest(1, ceil(round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) / 0.5)) AS BIGINT) AS n, seq = max(seq) OVER (PARTITION BY ring) AS last FROM s),
+p AS (SELECT ring, seq, len, n, i, ax + (ex - ax) * i / n AS px, ay + (ey - ay) * i / n AS py FROM (SELECT *, unnest(range(0, n + CASE WHEN last THEN 1 ELSE 0 END)) AS i FROM f)),
+d AS (SELECT p.ring, p.seq, i, any_value(len / n) AS step, min({_DIST('px', 'py')}) AS d FROM p JOIN s ON s.ring = p.ring + 1 GROUP BY p.ring, p.seq, i)
+SELECT ring, count(*) AS samples, round(max(d), 6) AS most, round(max(d) + max(step) / 2, 6) AS bound FROM d GROUP BY ring""")
+def densify_boundary(spark, sf):
+    """The whole boundary of every ring that has a next one, where densify_distance takes the first
+    segment of even rings only."""
+    s = ring_segments(spark, sf)
+    d = G.boundary_distance(s, s.withColumn("ring", c("ring") - 1), 0.5)
+    return d.select("ring", "samples", F.round("most", 6).alias("most"), F.round("bound", 6).alias("bound"))
+
+
 @query(f"WITH {SEGMENTS_SQL}, n AS (SELECT ring, count(*) AS n FROM v GROUP BY ring) SELECT v.ring, round(min({_DIST('v.x', 'v.y')}), 6) AS clearance FROM v JOIN s ON s.ring = v.ring JOIN n ON n.ring = v.ring WHERE s.seq <> v.seq AND s.seq % n.n + 1 <> v.seq GROUP BY v.ring")
 def min_clearance(spark, sf):
     """The least distance of a vertex from a segment of its ring that does not end in it."""
