@@ -12,6 +12,9 @@ SPHERE_RADIUS = 6371008.8
 AXIS, FLATTENING = 6378137.0, 1 / 298.257222101
 ECCENTRICITY2 = FLATTENING * (2 - FLATTENING)
 
+#: Twice the area by length, in degrees, that makes a ring flat: some units in the last place.
+FLAT = 1e-12
+
 
 def segments(vertices: DataFrame) -> DataFrame:
     """ring, seq, x, y to closed segments ring, seq, x0, y0, x1, y1."""
@@ -42,6 +45,18 @@ def cross() -> Column:
     return F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
 
 
+def centroids(segments: DataFrame) -> DataFrame:
+    """ring, cx, cy of every ring. The sums start at the first vertex, so that small areas stay
+    precise; a ring whose area is no more than what rounding of its coordinates can make is flat
+    and has a null centroid."""
+    whole = Window.partitionBy("ring").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = segments.withColumn("fx", F.first("x0").over(whole)).withColumn("fy", F.first("y0").over(whole))
+    s = s.select("ring", "fx", "fy", *((F.col(f"{n}{i}") - F.col(f"f{n}")).alias(f"{n}{i}") for n in "xy" for i in "01"))
+    a = s.groupBy("ring").agg(F.first("fx").alias("fx"), F.first("fy").alias("fy"), F.sum(cross()).alias("c"), F.sum(length()).alias("l"), *(F.sum((F.col(f"{n}0") + F.col(f"{n}1")) * cross()).alias(f"s{n}") for n in "xy"))
+    middle = lambda n: F.when(F.abs("c") > FLAT * F.col("l"), F.col(f"f{n}") + F.col(f"s{n}") / F.nullif(3 * F.col("c"), F.lit(0.0)))
+    return a.select("ring", middle("x").alias("cx"), middle("y").alias("cy"))
+
+
 def planar_area() -> Column:
     """Shoelace area in square degrees, scaled at the mean latitude."""
     return F.abs(F.sum(cross())) / 2 * (111320.0**2) * F.cos(F.radians(F.avg("y0")))

@@ -77,6 +77,14 @@ def ring_centroid(spark, sf):
     return a.where(F.abs("c") > 0.1).select("ring", F.round(F.col("sx") / (3 * F.col("c")), 3).alias("cx"), F.round(F.col("sy") / (3 * F.col("c")), 3).alias("cy"))
 
 
+@query(_S + f""", f AS (SELECT ring, x AS fx, y AS fy FROM v WHERE seq = 1), r AS (SELECT ring, fx, fy, x0 - fx AS ux, y0 - fy AS uy, x1 - fx AS wx, y1 - fy AS wy FROM s JOIN f USING (ring)),
+a AS (SELECT ring, any_value(fx) AS fx, any_value(fy) AS fy, sum(ux * wy - wx * uy) AS c, sum(sqrt((wx - ux) ** 2 + (wy - uy) ** 2)) AS l, sum((ux + wx) * (ux * wy - wx * uy)) AS sx, sum((uy + wy) * (ux * wy - wx * uy)) AS sy FROM r GROUP BY ring)
+SELECT ring, CASE WHEN abs(c) > {G.FLAT!r} * l THEN round(fx + sx / (3 * c), 6) END AS cx, CASE WHEN abs(c) > {G.FLAT!r} * l THEN round(fy + sy / (3 * c), 6) END AS cy FROM a""")
+def ring_centroid_all(spark, sf):
+    """Every ring, however small; ring_centroid leaves out those below 0.05 square degrees."""
+    return G.centroids(ring_segments(spark, sf)).select("ring", *(F.round(n, 6).alias(n) for n in ("cx", "cy")))
+
+
 _LEN = "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"
 
 

@@ -19,3 +19,10 @@ def test_boundary_distance_takes_every_segment(spark):
     target = s.where("ring = 2").withColumn("ring", F.lit(1).cast("long"))
     r = G.boundary_distance(s.where("ring = 1"), target, 0.5).first()
     assert (r.ring, r.samples, r.most, r.bound) == (1, 17, 2.0, 2.25)
+
+
+def test_centroids_of_small_and_flat_rings(spark):
+    small = [(139, 35), (139 + 1e-5, 35), (139 + 1e-5, 35 + 1e-5), (139, 35 + 1e-5)]
+    found = {r.ring: r for r in G.centroids(G.segments(rings(spark, small, [(139, 35), (140, 36), (141, 37)]))).collect()}
+    assert math.isclose(found[1].cx, 139 + 5e-6, abs_tol=1e-11) and math.isclose(found[1].cy, 35 + 5e-6, abs_tol=1e-11)
+    assert found[2].cx is None and found[2].cy is None
