@@ -36,3 +36,24 @@ def fingerprint(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     gathers more than a 256th part of them; then the parts are hashed in order."""
     parts = row_hashes(table, columns).groupBy(F.substring("h", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     return parts.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), ""), 256).alias("sha"))
+
+
+def compare_layers(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row of same_* flags: the schemas, the number of rows, and multiset fingerprints of all
+    columns, of all but the key, of the key, and of each attribute. Where a column's type differs
+    or one side lacks it, the flags that need it are false."""
+    types = [dict(t.dtypes) for t in (left, right)]
+
+    def same(columns: set[str]) -> Column:
+        if any(types[0].get(c) != types[1].get(c) for c in columns):
+            return F.lit(False)
+        tags = {c: types[0][c] + ":" for c in sorted(columns)}
+        a, b = (fingerprint(t, tags).select(F.struct(F.coalesce("n_rows", F.lit(0)), "sha").alias("f")) for t in (left, right))
+        return a.scalar().eqNullSafe(b.scalar())
+
+    every = set(types[0]) | set(types[1])
+    flags = {"same_schema": F.lit(sorted(types[0].items()) == sorted(types[1].items()))}
+    flags["same_count"] = left.agg(F.count("*")).scalar() == right.agg(F.count("*")).scalar()
+    flags |= {"same_values": same(every), "same_attributes": same(every - {key}), "same_keys": same({key})}
+    flags |= {f"same_{c}": same({c}) for c in sorted(every - {key})}
+    return left.sparkSession.range(1).select(*(v.alias(k) for k, v in flags.items()))

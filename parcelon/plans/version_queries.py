@@ -123,6 +123,15 @@ def layer_compare(spark, sf):
     return both.select((F.col("an") == F.col("bn")).alias("same_count"), (F.col("ak") == F.col("bk")).alias("same_keys"), (F.col("al") == F.col("bl")).alias("same_labels"))
 
 
+_SAME = lambda cols: f"(SELECT count(*) FROM (SELECT {cols} FROM a EXCEPT ALL SELECT {cols} FROM b)) + (SELECT count(*) FROM (SELECT {cols} FROM b EXCEPT ALL SELECT {cols} FROM a)) = 0"
+
+
+@query(_TWO + f" SELECT (SELECT typeof(any_value((k, status, price, prio))) FROM a) = (SELECT typeof(any_value((k, status, price, prio))) FROM b) AS same_schema, (SELECT count(*) FROM a) = (SELECT count(*) FROM b) AS same_count, {_SAME('k, status, price, prio')} AS same_values, {_SAME('status, price, prio')} AS same_attributes, {_SAME('k')} AS same_keys, {_SAME('status')} AS same_status, {_SAME('price')} AS same_price, {_SAME('prio')} AS same_prio")
+def layer_fingerprints(spark, sf):
+    """Equality by fingerprints of the contents; layer_compare takes a count, a sum and a maximum."""
+    return V.compare_layers(*two(spark, sf), "k")
+
+
 @query("SELECT user_id AS owner, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
 def adjacent_sets(spark, sf):
     return T(spark, sf, "events").groupBy(F.col("user_id").alias("owner")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("kinds"))

@@ -26,3 +26,15 @@ def test_centroids_of_small_and_flat_rings(spark):
     found = {r.ring: r for r in G.centroids(G.segments(rings(spark, small, [(139, 35), (140, 36), (141, 37)]))).collect()}
     assert math.isclose(found[1].cx, 139 + 5e-6, abs_tol=1e-11) and math.isclose(found[1].cy, 35 + 5e-6, abs_tol=1e-11)
     assert found[2].cx is None and found[2].cy is None
+
+
+def test_layers_differ_in_what_sums_and_maxima_hide(spark):
+    made = lambda *r: spark.createDataFrame(r, "k long, status string, prio string")
+    flags = lambda a, b: {k for k, v in V.compare_layers(a, b, "k").first().asDict().items() if v}
+    a = made((1, "O", "2-HIGH"), (4, "F", "5-LOW"))
+    every = {"same_schema", "same_count", "same_values", "same_attributes", "same_keys", "same_status", "same_prio"}
+    assert flags(a, made((4, "F", "5-LOW"), (1, "O", "2-HIGH"))) == every
+    assert flags(a, made((1, "O", "3-MEDIUM"), (4, "F", "5-LOW"))) == every - {"same_values", "same_attributes", "same_prio"}
+    assert flags(a, made((2, "O", "2-HIGH"), (3, "F", "5-LOW"))) == every - {"same_values", "same_keys"}
+    assert flags(a, a.drop("status")) == {"same_count", "same_keys", "same_prio"}
+    assert flags(a.limit(0), a.limit(0)) == every
