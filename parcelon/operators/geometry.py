@@ -117,6 +117,32 @@ def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False)
     return (joined.where("id < b_id") if same else joined).drop("cx", "cy")
 
 
+def alike_rings(left: DataFrame, right: DataFrame, tolerance: float, most: float) -> DataFrame:
+    """ring, b_ring, d of the rings (ring, seq, x, y) whose bounds differ by no more than the
+    tolerance and whose discrete Hausdorff distance is no more than `most`.
+
+    The bounds meet in an equi-join on cells of the tolerance, with the neighbours of a cell on one
+    side; a pair is found once, as the other side is in one cell only.
+    """
+    names = [f"{n}{m}" for n in "xy" for m in ("min", "max")]
+    bounds = lambda v: v.groupBy("ring").agg(*(f(n).alias(f"{n}{m}") for n in "xy" for m, f in (("min", F.min), ("max", F.max))))
+    cell = lambda n, by=0: F.floor(F.col(n) / tolerance).cast("long") + by
+    a = bounds(left).select("ring", *names, *(cell(n).alias(f"c_{n}") for n in names))
+    b = bounds(right).select(F.col("ring").alias("b_ring"), *(F.col(n).alias(f"b_{n}") for n in names))
+    for n in names:
+        b = b.withColumn(f"c_{n}", F.explode(F.array(*(cell(f"b_{n}", by) for by in (-1, 0, 1)))))
+    close = F.lit(True)
+    for n in names:
+        close = close & (F.abs(F.col(n) - F.col(f"b_{n}")) <= tolerance)
+    pairs = a.join(b, [f"c_{n}" for n in names]).where(close).select("ring", "b_ring")
+    ours = left.select("ring", F.col("seq").alias("i"), "x", "y")
+    theirs = right.select(F.col("ring").alias("b_ring"), F.col("seq").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    p = pairs.join(ours, "ring").join(theirs, "b_ring").withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")))
+    one = lambda at: p.groupBy("ring", "b_ring", at).agg(F.min("d").alias("d")).groupBy("ring", "b_ring").agg(F.max("d").alias(f"d_{at}"))
+    both = one("i").join(one("j"), ["ring", "b_ring"])
+    return both.select("ring", "b_ring", F.greatest("d_i", "d_j").alias("d")).where(F.col("d") <= most)
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Points (id, x, y; right b_id, bx, by) within a radius: 3 x 3 cells of its size."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))

@@ -113,6 +113,21 @@ def hausdorff_vertices(spark, sf):
     return one("seq").join(one("j"), "ring").select("ring", F.round(F.greatest("d_seq", "d_j"), 6).alias("d"))
 
 
+_BOUND, _MOST = 0.15, 1.003
+
+
+@query(f"""WITH {VERTICES_SQL}, e AS (SELECT ring, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM v GROUP BY ring),
+q AS (SELECT a.ring, b.ring AS b_ring FROM e a JOIN e b ON a.ring < b.ring AND abs(a.xmin - b.xmin) <= {_BOUND} AND abs(a.xmax - b.xmax) <= {_BOUND} AND abs(a.ymin - b.ymin) <= {_BOUND} AND abs(a.ymax - b.ymax) <= {_BOUND}),
+p AS (SELECT q.ring, b_ring, a.seq AS i, b.seq AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM q JOIN v a ON a.ring = q.ring JOIN v b ON b.ring = q.b_ring),
+f AS (SELECT ring, b_ring, max(d) AS d FROM (SELECT ring, b_ring, i, min(d) AS d FROM p GROUP BY ALL) GROUP BY ALL), g AS (SELECT ring, b_ring, max(d) AS d FROM (SELECT ring, b_ring, j, min(d) AS d FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT ring, b_ring, round(greatest(f.d, g.d), 6) AS d FROM f JOIN g USING (ring, b_ring) WHERE greatest(f.d, g.d) <= {_MOST}""")
+def hausdorff_partners(spark, sf):
+    """Partners among all rings by their bounds, then by distance; hausdorff_vertices measures even
+    rings against the next number only."""
+    v = vertices(spark, sf)
+    return G.alike_rings(v, v, _BOUND, _MOST).where("ring < b_ring").select("ring", "b_ring", F.round("d", 6).alias("d"))
+
+
 _ZONES = "z AS (SELECT s_suppkey AS s, s_suppkey % 19 AS zone, CAST(s_suppkey * 37 % 100 AS DOUBLE) AS xmin, CAST(s_suppkey * 53 % 99 AS DOUBLE) AS ymin, CAST(s_suppkey * 37 % 100 AS DOUBLE) + 8 AS xmax, CAST(s_suppkey * 53 % 99 AS DOUBLE) + 6 AS ymax FROM supplier)"
 
 

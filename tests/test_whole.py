@@ -38,3 +38,12 @@ def test_layers_differ_in_what_sums_and_maxima_hide(spark):
     assert flags(a, made((2, "O", "2-HIGH"), (3, "F", "5-LOW"))) == every - {"same_values", "same_keys"}
     assert flags(a, a.drop("status")) == {"same_count", "same_keys", "same_prio"}
     assert flags(a.limit(0), a.limit(0)) == every
+
+
+def test_partners_are_found_whatever_their_number(spark):
+    square = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    near = [(0.01, 0), (1, 0.01), (1, 1), (0, 1)]
+    v = rings(spark, square, [(5, 5), (6, 5), (6, 6)], near, [(0, 0), (1, 1), (0.5, 0.6)])
+    found = {(r.ring, r.b_ring): r.d for r in G.alike_rings(v, v, 0.02, 0.1).where("ring < b_ring").collect()}
+    assert found == {(1, 3): pytest.approx(0.01)}
+    assert (1, 4) in {(r.ring, r.b_ring) for r in G.alike_rings(v, v, 0.02, 2.0).collect()}
