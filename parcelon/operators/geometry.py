@@ -98,6 +98,20 @@ def boundary_distance(segments: DataFrame, targets: DataFrame, spacing: float) -
     return d.groupBy("ring").agg(F.count("*").alias("samples"), F.max("d").alias("most"), (F.max("d") + F.max("step") / 2).alias("bound"))
 
 
+def self_crossings(segments: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """ring, i, j: segments of a ring that are no neighbours and cross properly: each parts the ends
+    of the other by more than a tolerance."""
+    a = segments.withColumn("n", F.count("*").over(Window.partitionBy("ring"))).withColumnRenamed("seq", "i")
+    b = segments.select("ring", F.col("seq").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+
+    def parted(s: str, o: str) -> Column:
+        c = F.col
+        side = lambda k: (c(f"{s}x1") - c(f"{s}x0")) * (c(f"{o}y{k}") - c(f"{s}y0")) - (c(f"{s}y1") - c(f"{s}y0")) * (c(f"{o}x{k}") - c(f"{s}x0"))
+        return ((side(0) > tolerance) & (side(1) < -tolerance)) | ((side(0) < -tolerance) & (side(1) > tolerance))
+
+    return a.join(b, "ring").where("j >= i + 2 AND NOT (i = 1 AND j = n)").where(parted("", "b_") & parted("b_", "")).select("ring", "i", "j")
+
+
 def cells(low: Column, high: Column, size: float) -> Column:
     """Numbers of the grid cells that a range touches."""
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))

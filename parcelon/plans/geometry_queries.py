@@ -148,6 +148,22 @@ def ring_validity(spark, sf):
     return per_ring(spark, sf, (F.count("*") >= 3).alias("enough"), F.bool_and(finite).alias("finite"), (F.countDistinct(F.round("x0", 6), F.round("y0", 6)) == F.count("*")).alias("simple"))
 
 
+_PART = lambda s, o: "(" + " OR ".join(f"({_AT(s, o, 0)} {p} AND {_AT(s, o, 1)} {q})" for p, q in (("> 1e-9", "< -1e-9"), ("< -1e-9", "> 1e-9"))) + ")"
+_AT = lambda s, o, k: f"(({s}.x1 - {s}.x0) * ({o}.y{k} - {s}.y0) - ({s}.y1 - {s}.y0) * ({o}.x{k} - {s}.x0))"
+
+
+@query(_S + f""", n AS (SELECT ring, count(*) AS n FROM s GROUP BY ring), x AS (SELECT a.ring, count(*) AS k FROM s a JOIN s b ON a.ring = b.ring AND b.seq >= a.seq + 2 JOIN n ON n.ring = a.ring WHERE NOT (a.seq = 1 AND b.seq = n) AND {_PART('a', 'b')} AND {_PART('b', 'a')} GROUP BY a.ring),
+m AS (SELECT ring, count(*) >= 3 AS enough, bool_and(isfinite(x0) AND isfinite(y0)) AS finite, count(DISTINCT (round(x0, 6), round(y0, 6))) = count(*) AS apart FROM s GROUP BY ring)
+SELECT m.*, coalesce(k, 0) AS crossings, apart AND k IS NULL AS simple FROM m LEFT JOIN x USING (ring)""")
+def ring_simplicity(spark, sf):
+    """As ring_validity, whose 'simple' only means that no vertex is repeated (here 'apart'), and
+    the pairs of segments that cross properly; simple rings have none."""
+    s = ring_segments(spark, sf)
+    x = G.self_crossings(s).groupBy("ring").agg(F.count("*").alias("crossings"))
+    found = ring_validity(spark, sf).withColumnRenamed("simple", "apart").join(x, "ring", "left")
+    return found.select("ring", "enough", "finite", "apart", F.coalesce("crossings", F.lit(0)).alias("crossings"), (F.col("apart") & F.col("crossings").isNull()).alias("simple"))
+
+
 _PIP = _S + """, p AS (SELECT s_suppkey AS pid, 130.003 + (s_suppkey * 37 % 500) / 100.0 AS px, 30.0007 + (s_suppkey * 53 % 600) / 100.0 AS py FROM supplier),
 hit AS (SELECT pid, ring FROM p JOIN s ON (y0 > py) <> (y1 > py) AND px < x0 + (py - y0) * (x1 - x0) / (y1 - y0) GROUP BY pid, ring HAVING count(*) % 2 = 1)"""
 

@@ -47,3 +47,8 @@ def test_partners_are_found_whatever_their_number(spark):
     found = {(r.ring, r.b_ring): r.d for r in G.alike_rings(v, v, 0.02, 0.1).where("ring < b_ring").collect()}
     assert found == {(1, 3): pytest.approx(0.01)}
     assert (1, 4) in {(r.ring, r.b_ring) for r in G.alike_rings(v, v, 0.02, 2.0).collect()}
+
+
+def test_a_bow_tie_crosses_itself(spark):
+    s = G.segments(rings(spark, [(0, 0), (1, 1), (1, 0), (0, 1)], [(0, 0), (1, 0), (1, 1), (0, 1)], [(0, 0), (2, 0), (1, 1)]))
+    assert [tuple(r) for r in G.self_crossings(s).collect()] == [(1, 1, 3)]
