@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is its distinct five-word shingles. Equal sets form a class at once; below, only
-one document of each class goes on. MINHASHES samples of a set make BANDS band keys, and are
+A document's set is its distinct five-word shingles. Documents of equal word sequences form a class
+at once (and so have equal sets); below, only one document of each class goes on. MINHASHES samples of a set make BANDS band keys, and are
 folded into a parity bitmap, the odd sketch: the population count of the XOR of two sketches
 estimates how many samples differ, precisely for high similarities. Candidates of a band key are
 verified by sketch first and then, always, on the full sets.
@@ -19,14 +19,16 @@ Four samples a band and 32 bands miss a pair of similarity 0.85 with a probabili
 the bound on the sketches is five standard deviations from what 0.85 gives: it misses one with 8e-7.
 
 Defined cases: a null, empty or blank text has an empty set, its own component, and is kept; a
-text of fewer words than a shingle has one shingle, the whole sequence; equal sets are linked
-whatever the texts; rows with the same doc_id are one node; a null doc_id joins the class of its
-set, and a class of null ids only is linked with nothing and has a null component; an empty table
-gives no rows.
+text of fewer words than a shingle has one shingle, the whole sequence; a text of any length is
+taken whole. Rows are documents of their own, also those that share a doc_id or have none: they are
+linked by their texts only. A component's id is the least doc_id in it, null if all are null, and
+the rows with that id are kept (with `row`, exactly one row of each component is). An empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table, text_of, written
+from .common import numbered, parts_for, shared_dir, table, text_of, written
 from .components import components
 
 SHINGLE = 5
@@ -48,8 +50,9 @@ MINHASHES = 384
 #: Longs in an odd sketch, and most odd bits that two sets of PERCENT differ in (five sigma).
 SKETCH_LONGS = 24
 SKETCH_BITS = 170
-#: Members of a key that meet in one part.
-PART_ROWS = 2000
+#: Members of a key that meet in one part, and rows (members and those that visit them) for a task.
+PART_ROWS = 1000
+TASK_ROWS = 8000
 #: Candidates that a document outside its key's largest component sends on in each round; the
 #: last round has no limit, so that no pair of different components stays unseen.
 ROUNDS = (2, None)
@@ -134,9 +137,9 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(low), bits), axis=1).view(np.int64)
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_shingles, digest (null for empty sets), bands, odd."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+def sketches(rows: DataFrame) -> DataFrame:
+    """row, doc_id, text to row, doc_id, n_shingles, digest (of the word sequence; null for empty
+    sets), bands, odd."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -144,17 +147,18 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 counts, digests, lows = [], [], []
-                for t in part.column(1).to_pylist():
-                    found = shingle_hashes(words_of(t), known)
+                for t in part.column(2).to_pylist():
+                    words = words_of(t)
+                    found = shingle_hashes(words, known)
                     counts.append(len(found))
-                    digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                    digests.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
                     lows.append(minhash(found))
                 low = np.array(lows, np.uint64)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(low).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
                 odd = pa.FixedSizeListArray.from_arrays(pa.array(odd_sketch(low).reshape(-1)), SKETCH_LONGS).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), bands, odd], ["doc_id", "n_shingles", "digest", "bands", "odd"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), bands, odd], ["row", "doc_id", "n_shingles", "digest", "bands", "odd"])
 
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>")
+    return rows.mapInArrow(make, "row long, doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,22 +220,29 @@ def cross_pairs(limit: int | None):
     return find
 
 
-def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. With `row`, a column of a written table that
+    numbers its rows, the result has it too, as "row", and one row of each component is kept: of
+    those with the least key the one with the least number."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
-    made = written(sketches(docs, text, key), folder, "sketches")
-    classes = written(made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), folder, "classes")
-    # One row per node: the class's least document.
-    own = made.select("doc_id", "digest", "n_shingles", "bands", "odd").join(classes.where("node IS NOT NULL"), "digest").where("doc_id = node")
-    nodes = written(own.dropDuplicates(["node", "digest"]).select("node", "n_shingles", "bands", "odd"), folder, "nodes")
+    rows = docs.select(*([] if row is None else [F.col(row).cast("long").alias("row")]), F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    if row is None:
+        rows = numbered(rows, folder).select("row", "doc_id", "text")
+    made = written(sketches(rows), folder, "sketches")
+    # The least document of a class is its node: by id, then by row; null ids come last.
+    order = lambda doc, at: F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc_id"), F.col(at).alias("row"))
+    classes = made.where("digest IS NOT NULL").groupBy("digest").agg(F.min(order("doc_id", "row")).alias("first"))
+    classes = written(classes.select("digest", F.col("first.row").alias("node"), F.col("first.doc_id").alias("node_id")), folder, "classes")
+    nodes = made.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
+    nodes = written(nodes.select(F.col("row").alias("node"), "n_shingles", "bands", "odd"), folder, "nodes")
     # First round: each member of a key with the key's least member.
     held = nodes.select("node", F.explode("bands").alias("key"))
     keys = held.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1")
     members = written(held.join(keys, "key"), folder, "members")
     # Texts of nodes that share a key move once, and alike at every size.
     sharing = members.select(F.col("node").alias("n")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("node"), text_of(text).alias("text"))
+    texts = rows.select(F.col("row").alias("node"), "text")
     texts = written(texts.join(sharing.hint("merge"), F.col("node") == F.col("n"), "left_semi"), folder, "texts")
     pairs = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     slim = nodes.select("node", "n_shingles", "odd")
@@ -245,19 +256,23 @@ def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", k
     # Later rounds: members of the same key that still lie in different components.
     low = F.transform("bands", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     sketch = nodes.select("node", "n_shingles", "odd", low.alias("sig"))
-    tasks = 16 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tried = pairs
     for turn, limit in enumerate(ROUNDS, 2):
         placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = written(placed, folder, f"placed-{turn}")
         per = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         open_keys = per.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
-        open_keys = written(open_keys.select("key", F.col("top.root").alias("major"), F.ceil(F.col("total") / PART_ROWS).cast("int").alias("parts")), folder, f"open-{turn}")
-        rows = placed.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+        parts = F.ceil(F.col("total") / PART_ROWS).cast("int")
+        # Members of the largest component lie in one part, all others visit every part.
+        sent = F.col("top.n") + (F.col("total") - F.col("top.n")) * parts
+        open_keys = written(open_keys.select("key", F.col("top.root").alias("major"), parts.alias("parts"), sent.alias("sent")), folder, f"open-{turn}")
+        tasks = parts_for(open_keys.agg(F.sum("sent")).first()[0], TASK_ROWS)
+        rows = placed.join(open_keys.drop("sent"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
         rows = rows.withColumn("minor", F.col("root") != F.col("major"))
         rows = rows.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
         rows = rows.select("key", "part", "node", "root", (F.col("part") == F.col("own")).alias("home"), "minor").join(sketch, "node")
-        found = rows.withColumn("task", F.pmod(F.xxhash64("key", "part"), F.lit(tasks))).groupBy("task").applyInArrow(cross_pairs(limit), _PAIR)
+        rows = rows.withColumn("task", F.pmod(F.xxhash64("key", "part"), F.lit(tasks))).repartition(tasks, "task")
+        found = rows.groupBy("task").applyInArrow(cross_pairs(limit), _PAIR)
         more = written(found.distinct().join(tried, ["a", "b"], "left_anti"), folder, f"pairs-{turn}")
         extra = written(confirmed(more, wanted(texts, more)), folder, f"links-{turn}")
         tried = tried.union(more)
@@ -265,16 +280,21 @@ def near_dedup(docs: DataFrame, folder: str | None = None, text: str = "text", k
             old = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = components(old.union(extra), folder, f"components-{turn}")
 
-    labelled = classes.where("node IS NOT NULL").join(roots, "node", "left").select(F.col("digest").alias("d"), F.coalesce("root", "node").alias("component"))
-    joined = made.select("doc_id", "n_shingles", "digest").join(labelled, F.col("digest") == F.col("d"), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # The first document of each component, then the component of each class.
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = rooted.groupBy("root").agg(F.min(order("node_id", "node")).alias("head"))
+    labelled = rooted.join(heads, "root").select(F.col("digest").alias("d"), "head")
+    joined = made.select("row", "doc_id", "n_shingles", "digest").join(labelled, F.col("digest") == F.col("d"), "left")
+    alone = F.col("digest").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component) if row is None else alone | (F.col("row") == F.col("head.row"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *([] if row is None else ["row"]))
 
 
 def wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the nodes that occur in pairs."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    return texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
+    return texts.join(ids, "node", "left_semi")
 
 
 def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
