@@ -12,8 +12,13 @@ made by rule (kinds of secrets in their usual places, and the usual false positi
 digests of commits, paths, numbers, placeholders, long words), because the tables label none. A
 caller with labelled findings of its own gives them instead.
 
-Defined cases: a null or empty text has no candidates; repeated rows and null doc_ids give their
-own findings; a candidate is scored whole however long it is; an empty table gives no rows.
+A redaction replaces the characters of each finding where it stands, and nothing else: what another
+row, or another place of the same text, holds is judged there.
+
+Defined cases: a null or empty text has no candidates and stays as it is; a text of any length is
+scanned whole; repeated rows and rows that share an id, or have none, give their own findings; a
+candidate is scored whole however long it is; an empty table gives no rows; further columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_of, written
+from .common import free_name, numbered, shared_dir, table, text_of, written
 
 MIN_LENGTH = 16
 #: Labelled findings that are made for training.
@@ -97,10 +102,11 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.select("*", *(values[k].cast("double").alias(k) for k in FEATURES))
 
 
-def candidates(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per candidate: row, doc_id, n, start (code points), token, lead (characters of it that are no
+def candidates(docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """Per candidate: row (as `row` numbers them), doc_id, n, start (code points), token, lead (characters of it that are no
     part of the key), before, after; a written table."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), text_of(text).alias("t"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("row"), F.col(key).alias("doc_id"), text_of(text).alias("t"))
     rows = rows.where(F.col("t").rlike(PATTERN))
     rows = rows.select("row", "doc_id", F.regexp_extract_all("t", F.lit(PATTERN), 0).alias("tokens"), F.split("t", PATTERN, -1).alias("gaps"))
     name = lambda x: F.when(x.rlike(_JOINED), "").otherwise(F.regexp_extract(x, _APART, 1))
@@ -190,40 +196,45 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomFo
     return forest.fit(assembled(findings).select("features", "label"))
 
 
-def scored(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per candidate: doc_id, n, start, token, lead, score, is_secret."""
+def scored(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """Per candidate: row, doc_id, n, start, token, lead, score, is_secret."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     model = fit(labelled_findings(spark) if findings is None else findings)
-    found = model.transform(assembled(candidates(docs, folder, text, key)))
-    return found.select("doc_id", "n", "start", "token", "lead", vector_to_array("probability")[1].alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    found = model.transform(assembled(candidates(docs, folder, text, key, row)))
+    return found.select("row", "doc_id", "n", "start", "token", "lead", vector_to_array("probability")[1].alias("score")).withColumn("is_secret", F.col("score") >= threshold)
 
 
 def scan(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per candidate: doc_id, n, start, token, score, is_secret."""
-    return scored(docs, folder, findings, threshold, text, key).drop("lead")
+    return scored(docs, folder, findings, threshold, text, key).drop("row", "lead")
 
 
-def _without(text: Column, secret: Column) -> Column:
-    """A short secret goes where it stands alone, not within other words."""
-    quoted = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(secret, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    return F.when(F.length(secret) < MIN_LENGTH, F.regexp_replace(text, quoted, F.lit(REDACTED))).otherwise(F.replace(text, secret, F.lit(REDACTED)))
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with REDACTED in place of spans: an array of structs of start and end (code points
+    from 0), which do not overlap."""
+    ordered = F.array_sort(spans)
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(ordered, lambda s: s["end"]))
+    ends = F.concat(F.transform(ordered, lambda s: s["start"]), F.array(F.length(text).cast("long")))
+    gaps = F.zip_with(begins, ends, lambda b, e: F.substring(text, (b + 1).cast("int"), (e - b).cast("int")))
+    return F.array_join(gaps, REDACTED)
 
 
-def redact(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The documents with each secret replaced; n_chars follows the text."""
+def redact(docs: DataFrame, folder: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents with each secret replaced where it was found; n_chars follows the text."""
     folder = folder or shared_dir(docs.sparkSession)
-    value = F.substring("token", F.col("lead") + 1, F.length("token"))
-    secrets = scored(docs, folder).where("is_secret").groupBy("doc_id").agg(F.collect_set(value).alias("secrets"))
-    secrets = written(secrets.withColumnRenamed("doc_id", "owner"), folder, "secrets")
+    row, owner, held, grown = (free_name(docs, n) for n in ("row", "owner", "spans", "grown"))
+    rows = numbered(docs, folder, row)
+    found = scored(rows, folder, findings, threshold, text, key, row).where("is_secret")
+    span = F.struct((F.col("start") + F.col("lead")).alias("start"), (F.col("start") + F.length("token")).alias("end"))
+    more = F.sum(F.lit(len(REDACTED)) - (F.length("token") - F.col("lead")))
+    spans = written(found.groupBy(F.col("row").alias(owner)).agg(F.collect_list(span).alias(held), more.alias(grown)), folder, "spans")
     # The owners grow with the input: a merge join at every size, never a broadcast.
-    joined = docs.join(secrets.hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left")
-    # Longer ones first, so that a secret within another does not break it.
-    longest = F.array_sort("secrets", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), _without))
-    changed = {"text": text}
+    joined = rows.join(spans.hint("merge"), F.col(row) == F.col(owner), "left")
+    clean = F.col(held).isNull()
+    changed = {text: F.when(clean, F.col(text)).otherwise(replaced(F.col(text), F.col(held)))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(clean, F.col("n_chars")).otherwise((F.length(F.col(text)) + F.col(grown)).cast(docs.schema["n_chars"].dataType))
     return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
