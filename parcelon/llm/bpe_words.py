@@ -4,18 +4,22 @@ Spark tasks split the documents of a block into words and number the block's dis
 document becomes the numbers of its words. Each block sends its distinct words, packed, to the
 owners of their hash ranges; an owner encodes each distinct word once and returns the ids of
 each block's words in the block's own order. There the ids meet the documents by position.
-Decoding joins ids with the table of pieces, which is as large as the vocabulary and no larger.
+Decoding joins the distinct ids of each block with the table of pieces, which is as large as the
+vocabulary and no larger; the pieces meet the ids of the documents by position too.
 
 Skew: a frequent word reaches its owner once for each block, never once for each occurrence.
 
 Defined cases: a null text is empty (no ids, empty decoded text); repeated rows stay apart; null
-doc_ids are kept; an empty table gives no rows; a very long document is a block of its own.
+doc_ids are kept; an empty table gives no rows; a very long document is a block of its own, taken
+whole; control characters, those that mark words on their way included, are text like any other;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -85,7 +89,7 @@ def split_blocks(docs: DataFrame, spec: str, owners: int, block_bytes: int = BLO
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(key)
                 # The joint of packed words is no word of its own: it is escaped within words.
-                coded.append([seen.setdefault(w, len(seen)) for w in (bpe.split(text) if "\1" not in text and "\0" not in text else _escaped(bpe.split(text), bpe.special))])
+                coded.append([seen.setdefault(w, len(seen)) for w in (_escaped(bpe.split(text), bpe.special) if _MARKS.search(text) else bpe.split(text))])
                 size += len(text)
                 if size >= block_bytes:
                     yield close()
@@ -98,13 +102,16 @@ def split_blocks(docs: DataFrame, spec: str, owners: int, block_bytes: int = BLO
 _BLOCK = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.struct([("owner", pa.int32()), ("packed", pa.binary())]))]
 
 
+_MARKS = re.compile("[\0\1\2]")
+
+
 def _escaped(words: list[str], special: dict[str, int]) -> list[str]:
     """Words that hold the joint (1) or the mark of special tokens (0), written with an escape (2)."""
     return [w if w[:1] == "\0" and w[1:] in special else "\2" + w.encode().hex() if "\0" in w or "\1" in w or w[:1] == "\2" else w for w in words]
 
 
 def _plain(word: str) -> str:
-    return bytes.fromhex(word[1:]).decode() if word[:1] == "\2" and len(word) > 1 else word
+    return bytes.fromhex(word[1:]).decode() if word[:1] == "\2" else word
 
 
 def encode_words(blocks: DataFrame, spec: str) -> DataFrame:
@@ -128,6 +135,20 @@ def encode_words(blocks: DataFrame, spec: str) -> DataFrame:
     return sent.groupBy("owner").applyInArrow(encode, "block long, owner int, ids binary")
 
 
+def used_pieces(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Per block (and what its owners sent): its distinct ids with their pieces, by a join of ids."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                parts = [unpack_numbers(part["ids"].as_py()) for part in batch.column("found")[row]]
+                ids = np.unique(np.concatenate([p[1 + p[0] :] for p in parts])).astype(np.int32)
+                yield pa.record_batch([pa.array([batch.column("block")[row].as_py()] * len(ids), pa.int64()), pa.array(ids)], ["block", "id"])
+
+    # As many rows as the vocabulary has: a broadcast of a bounded table.
+    return found.mapInArrow(distinct, "block long, id int").join(F.broadcast(pieces), "id")
+
+
 def encode_decode(docs: DataFrame, spec: str, folder: str | None = None, text: str = "text", key: str = "doc_id", give: str = "digests") -> DataFrame:
     """Per document doc_id, n_tokens and either digests (ids_sha256, decoded_sha256) or, with
     give="values", ids (array) and decoded (string)."""
@@ -136,17 +157,20 @@ def encode_decode(docs: DataFrame, spec: str, folder: str | None = None, text: s
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     owners = parts_for(total, OWNER_BYTES, least=8)
-    blocks = bucketed(split_blocks(rows, spec, owners), folder, "blocks", "block", max(owners, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = encode_words(blocks, spec).groupBy("block").agg(F.collect_list(F.struct("owner", "ids")).alias("found"))
-    joined = blocks.select("block", "doc_ids", "counts", "codes").join(found.hint("merge"), "block", "left")
+    buckets = max(owners, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = bucketed(split_blocks(rows, spec, owners), folder, "blocks", "block", buckets)
+    found = encode_words(blocks, spec).repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("owner", "ids")).alias("found"))
+    vocabulary = spark.createDataFrame(list(enumerate(piece_table(spec))), "id int, piece binary")
+    used = used_pieces(found, vocabulary).repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    joined = blocks.select("block", "doc_ids", "counts", "codes").join(found.hint("merge"), "block", "left").join(used.hint("merge"), "block", "left")
     values = give == "values"
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(spec)
-        names = [str(i) for i in range(len(pieces))]
         for batch in batches:
             for row in range(batch.num_rows):
                 at = {n: batch.column(n)[row] for n in ("doc_ids", "counts", "codes", "found")}
+                pieces = {p["id"]: p["piece"] for p in batch.column("pieces")[row].as_py() or ()}
+                names = {i: str(i) for i in pieces}
                 counts, codes = unpack_numbers(at["counts"].as_py()), unpack_numbers(at["codes"].as_py())
                 sizes, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
                 for part in sorted(at["found"].as_py() or (), key=lambda x: x["owner"]):
