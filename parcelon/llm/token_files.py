@@ -12,26 +12,27 @@ Each frame is followed by a line feed, because the files are written by Spark's
 puts raw bytes into any file system Spark knows, under its commit protocol, so a task that is
 lost and run again leaves one copy. Readers find everything by the declared lengths.
 
-Defined cases: a null text is empty and yields its end id; documents are ordered by doc_id, null
-ids first, then by text; repeated rows stay apart; an empty table gives no files that hold
-documents and no rows.
+Defined cases: a null text is empty and yields its end id; a text of any length is encoded whole,
+its ids run on over as many blocks as they need; documents are ordered by doc_id, null ids first,
+equal ids by a hash of the text and then the text; repeated rows stay apart; an empty table gives no
+files that hold documents and no rows; further columns are ignored. A file is read as one binary
+value, so it must stay below 2 GB: FILE_BYTES bounds the text in it, but for one longer document.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_file, word_bpe
-from .common import parts_for, shared_dir, table, text_of, written
+from .common import parts_for, running_total, shared_dir, table, text_of, written
 
 MAGIC = b"PLANES01"
 BLOCK_IDS = 65_536
@@ -131,8 +132,11 @@ def write_ids(docs: DataFrame, path: str, spec: str, end_id: int = 0, block: int
         for frame in frames(docs, block, kind):
             yield pa.record_batch([pa.array([frame], pa.binary())], ["frame"])
 
-    ordered = rows.repartitionByRange(parts_for(total, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    # Rows of one id are told apart by their texts, copies of a row by a number, so that no id, nor
+    # any one text, fills a file of its own; copies are alike, whichever comes first.
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(parts_for(total, FILE_BYTES), "doc_id", "h", "copy").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -161,16 +165,20 @@ def with_crc32(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def part_number(file: Column) -> Column:
+    """The writer's number of a file; names have five digits or more, so their text does not order them."""
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
+def placed(rows: DataFrame, folder: str) -> DataFrame:
+    """rows (file, local_start, n_tokens, ...) with start: the ids of all documents before."""
+    rows = rows.withColumn("part", part_number(F.col("file")))
+    files = running_total(rows.groupBy("part").agg(F.sum("n_tokens").alias("size")), "part", "size", "base", folder, "files")
+    return rows.join(files.select("part", "base"), "part").withColumn("start", F.col("base") + F.col("local_start"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     write_ids(table(spark, sf_dir, "documents"), f"{folder}/ids", tokenizer_file("byte_bpe_50k.json"), end_id=0)
     rows = written(with_crc32(read_ids(spark, f"{folder}/ids")), folder, "read-back")
-    # One row per file: the ids before each file, in the order of the files' names.
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
+    return placed(rows, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
