@@ -8,13 +8,15 @@ Then the fullest bins are kept, as many as the tokens can fill, and the document
 are cut to fill them up; the remainder goes into sequences of power-of-two lengths, which need no
 padding.
 
-Defined cases: a null text is empty and packs its end id; repeated rows and null doc_ids are
-packed like any others; an empty table gives no rows; the size of a group is set by its text.
+Defined cases: a null text is empty and packs its end id; a text of any length is packed whole, in
+as many sequences as it needs; repeated rows and null doc_ids are packed like any others, copies in
+groups of their own each; documents of one size are placed in the order of their ids, then texts; an
+empty table gives no rows; further columns are ignored; the number of groups follows the bytes of
+text, so that a group has about GROUP_BYTES, whatever the input.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -103,7 +105,9 @@ def pack_documents(docs: DataFrame, spec: str, end_id: int, length: int = LENGTH
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     groups, end = parts_for(total, GROUP_BYTES), int(end_id).to_bytes(4, "little")
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)))
+    # The row's number parts copies of one document; the tasks follow the groups.
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed), F.monotonically_increasing_id()), F.lit(groups))
+    rows = rows.withColumn("g", dealt).repartition(max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "g")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def packed(key: tuple, group: pa.Table) -> pa.Table:
@@ -124,7 +128,3 @@ def packed_rows(docs: DataFrame) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_rows(table(spark, sf_dir, "documents"))
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
