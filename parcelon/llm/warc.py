@@ -13,9 +13,13 @@ Archives are gzipped and written by Spark's text writer, which puts raw bytes in
 system under its commit protocol; the line feed that it adds is the one that ends an ARC record,
 and the two blank lines are those that end a WARC record. Payloads are never recoded.
 
-Defined cases: a null payload is empty; a null or odd address is written percent-encoded (null as
+An archive is read as one binary value, so its file must stay below 2 GB; a file holds one input
+partition, which spark.sql.files.maxPartitionBytes bounds.
+
+Defined cases: a null payload is empty; a payload of any length is one record; a null or odd address is written percent-encoded (null as
 "-"); rows that repeat key and payload are all responses; rows with a null key take part and are
-revisits if another row has a key; an empty table gives archives without records and no rows.
+revisits if another row has a key; an empty table gives archives without records and no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
