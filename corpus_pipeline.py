@@ -2,48 +2,51 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read
 again as the next stage's docs. All stages but the last give the columns of documents.
+
+The dedup stages number the rows of their input in a table of their own, so that rows which share a
+doc_id, or have none, are told apart: of each group exactly one row stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parcelon.llm import exact_dedup, near_dedup, packing, secrets, toxicity
-from parcelon.llm.common import shared_dir, table, written
+from parcelon.llm.common import numbered, shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
+    docs = docs.select(*COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).where("score < 0.5").select(*COLUMNS)
+    return toxicity.score_documents(docs, model, "score").where("score < 0.5").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; rows that repeat it are dropped too."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
-    kept = written(kept, shared_dir(spark), "kept")
-    found = only(docs, kept)
-    # Rows of one id: repeated rows, or texts that share an id; only then are whole rows compared.
-    return found.dropDuplicates() if kept.where("n > 1").head(1) else found
+    """Of equal texts one row stays, one with the largest doc_id."""
+    folder = shared_dir(spark)
+    rows = numbered(docs.select(*COLUMNS), folder)
+    return only(rows, exact_dedup.exact_dedup(rows, folder, row="row"), folder)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays."""
-    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return only(docs, written(kept, shared_dir(spark), "kept"))
+    """Of each component one row stays, one with the smallest doc_id."""
+    folder = shared_dir(spark)
+    rows = numbered(docs.select(*COLUMNS), folder)
+    return only(rows, near_dedup.near_dedup(rows, folder, row="row"), folder)
 
 
-def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    # The list of ids grows with the input: a merge join at every size, never a broadcast.
-    return docs.join(kept.select("id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*COLUMNS)
+def only(rows: DataFrame, found: DataFrame, folder: str) -> DataFrame:
+    # The list of rows grows with the input: a merge join at every size, never a broadcast.
+    kept = written(found.where("kept").select("row"), folder, "kept")
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No document goes; secrets are replaced in the text."""
-    return secrets.redact(docs).select(*COLUMNS)
+    """No document goes; secrets are replaced in the text, where they stand."""
+    return secrets.redact(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +61,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Tokenizers and trained models have no SQL. Of the stages exact_dedup is tested against brute force;
-#: the others are tested by fixed values on small fixtures, and run() by no test.
+#: Tokenizers and trained models have no SQL; tests/llm/test_pipeline.py holds run() against a
+#: brute-force version.
 ORACLE_SQL = None
 
 
