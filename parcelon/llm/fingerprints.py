@@ -77,13 +77,22 @@ def split_rules(stats: DataFrame, bits: Column, limit: int) -> DataFrame:
 def descended(rows: DataFrame, rules: DataFrame, copies: bool) -> DataFrame:
     """rows (k, g, node) with each node that has a rule replaced by its child. Copies of a row are
     alike, so it does not matter which of them takes which turn."""
+    return stepped(rows.join(rules.drop("bytes"), "node", "left"), copies).drop("by", "shift", "base", "children")
+
+
+def descended_root(rows: DataFrame, rules: DataFrame, copies: bool) -> DataFrame:
+    """As descended(), for the rule of the root: one row, which enters as values, not as a join."""
+    rule = rules.first()
+    values = [F.lit(rule[n]).cast(t).alias(n) for n, t in (("by", "string"), ("shift", "int"), ("base", "long"), ("children", "long"))]
+    return stepped(rows.select("*", *values), copies).drop("by", "shift", "base", "children")
+
+
+def stepped(rows: DataFrame, copies: bool) -> DataFrame:
     null_child = F.lit(1 << 62)  # null ids follow all others
     child = F.when(F.col("by") == "k", F.coalesce(F.expr("shiftright(k, shift)") - F.col("base"), null_child)).when(F.col("by") == "g", F.expr("shiftright(g, shift)") - F.col("base"))
     if copies:
         child = child.otherwise(F.pmod(F.monotonically_increasing_id(), F.col("children")))
-    joined = rows.join(rules.drop("bytes"), "node", "left")
-    node = F.when(F.col("by").isNull(), F.col("node")).otherwise(F.concat("node", F.array(child)))
-    return joined.withColumn("node", node).drop("by", "shift", "base", "children")
+    return rows.withColumn("node", F.when(F.col("by").isNull(), F.col("node")).otherwise(F.concat("node", F.array(child))))
 
 
 def deal(keys: DataFrame, limit: int, cells: int, folder: str) -> tuple[list[tuple[DataFrame, bool]], DataFrame]:
@@ -105,7 +114,11 @@ def deal(keys: DataFrame, limit: int, cells: int, folder: str) -> tuple[list[tup
         copies = copies.withColumn("child", F.explode(F.sequence(F.lit(0).cast("long"), F.col("children") - 1)))
         leaves.append(copies.select(F.concat("node", F.array("child")).alias("node"), F.ceil(F.col("bytes") / F.col("children")).alias("bytes")))
         split = made.where("by <> 'copies'")
-        active = written(descended(active.join(split.select("node"), "node", "left_semi"), split, False), folder, f"active-{level}")
+        if level:
+            active = descended(active.join(split.select("node"), "node", "left_semi"), split, False)
+        else:
+            active = descended_root(active, split, False) if split.head(1) else active.where("false")
+        active = written(active, folder, f"active-{level}")
         level += 1
     every = leaves[0]
     for more in leaves[1:]:
@@ -129,8 +142,8 @@ def bucketed(docs: DataFrame, bucket_bytes: int, text: str, key: str, folder: st
     numbers = running_total(filled.select("raw").distinct().withColumn("one", F.lit(1)), "raw", "one", "b", folder, "numbers").drop("one")
     owners = written(filled.join(numbers, "raw").select("node", F.col("b").cast("int").alias("b")), folder, "owners")
     placed = rows.withColumn("k", k).withColumn("g", g).withColumn("node", F.array().cast("array<long>"))
-    for rule, copies in rules:
-        placed = descended(placed, rule, copies)
+    for level, (rule, copies) in enumerate(rules):
+        placed = (descended if level else descended_root)(placed, rule, copies)
     many = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return placed.join(owners, "node").select("doc_id", "text", "h", "b").repartition(many, "b"), numbers.count()
 
