@@ -97,14 +97,10 @@ def exact_dedup(docs: DataFrame, folder: str | None = None, text: str = "text",
     keys = written(hashed.select("doc_id", "row", "h", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha")), folder, "keys")
     best, many = F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")
 
-    # A hash of one row is a chain of one entry. The texts of all other hashes are compared byte by
-    # byte; the list is read from files, so Spark knows its size and broadcasts it only if small.
-    per_hash = written(keys.groupBy("h").agg(F.count("*").alias("rows")), folder, "hashes")
-    shared = per_hash.where("rows > 1").select("h")
-    single = keys.join(shared, "h", "left_anti").select("h", "sha", F.struct("doc_id", "row").alias("best"), F.lit(1).cast("long").alias("group_size"))
-    compared = hashed.join(shared, "h", "left_semi").groupBy("h", "norm").agg(best, many)
-    compared = compared.select("h", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "best", "group_size")
-    entries = written(single.union(compared), folder, "entries")
+    # Grouping by the text itself compares bytes, so that a chain has an entry for each text of its
+    # hash. Copies are combined before the shuffle, which moves each distinct text, at every size alike.
+    entries = hashed.groupBy("h", "norm").agg(best, many).select("h", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "best", "group_size")
+    entries = written(entries, folder, "entries")
 
     directory, depth = build_directory(entries.select("h"), folder)
     index = build_index(entries, directory, depth, folder)
