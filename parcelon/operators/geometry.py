@@ -157,6 +157,45 @@ def alike_rings(left: DataFrame, right: DataFrame, tolerance: float, most: float
     return both.select("ring", "b_ring", F.greatest("d_i", "d_j").alias("d")).where(F.col("d") <= most)
 
 
+def chord_pairs(places: DataFrame, radius: float) -> DataFrame:
+    """a, b, d: places (id, lon, lat in degrees) whose chord through the ellipsoid is no longer than a
+    radius in metres. Cells are cubes of the radius; of the 27 around a place the equi-join meets all."""
+    s, c = F.sin(F.radians("lat")), F.cos(F.radians("lat"))
+    n = AXIS / F.sqrt(1 - ECCENTRICITY2 * s * s)
+    p = places.select("id", (n * c * F.cos(F.radians("lon"))).alias("x"), (n * c * F.sin(F.radians("lon"))).alias("y"), (n * (1 - ECCENTRICITY2) * s).alias("z"))
+    cell = lambda v: F.floor(F.col(v) / radius)
+    a = p.select("*", *(cell(v).alias(f"c{v}") for v in "xyz"))
+    b = p.toDF("b_id", "bx", "by", "bz")
+    for v in "xyz":
+        b = b.withColumn(f"c{v}", F.explode(F.array(*(F.floor(F.col(f"b{v}") / radius) + o for o in (-1, 0, 1)))))
+    d = F.sqrt(sum(((F.col(v) - F.col(f"b{v}")) * (F.col(v) - F.col(f"b{v}")) for v in "xyz"), F.lit(0.0)))
+    return a.join(b, ["cx", "cy", "cz"]).where("id < b_id").withColumn("d", d).where(F.col("d") <= radius).select(F.col("id").alias("a"), F.col("b_id").alias("b"), "d")
+
+
+def exact_quantiles(values: DataFrame, column: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """share, value: quantiles by linear interpolation, as percentile() gives them, without a task that
+    holds all values. Equal values are counted first; the counts of equal-width bins, whose number is
+    fixed, give the ranks before each bin, and ranks within a bin are found in the bin."""
+    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    placed = counts.join(F.broadcast(ends), F.lit(True))  # one row
+    width = (F.col("high") - F.col("low")) / bins
+    placed = placed.withColumn("bin", F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / width))).otherwise(0))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("bin").agg(F.sum("n").alias("k"))
+    base = base.select("bin", F.coalesce(F.sum("k").over(ahead(Window.orderBy("bin"))), F.lit(0)).alias("base"))
+    ranked = placed.join(F.broadcast(base), "bin")  # as many rows as bins
+    first = F.col("base") + F.coalesce(F.sum("n").over(ahead(Window.partitionBy("bin").orderBy("v"))), F.lit(0))
+    ranked = ranked.select("v", first.alias("first"), (first + F.col("n") - 1).alias("last"), "total")
+    asked = F.explode(F.array(*(F.lit(float(s)) for s in shares))).alias("share")
+    at = F.col("share") * (F.col("total") - 1)
+    hits = ranked.select("v", "first", "last", "total", asked).withColumn("at", at).where("last >= floor(at) AND first <= ceil(at)")
+    low = F.max(F.when(F.expr("first <= floor(at) AND last >= floor(at)"), F.col("v")))
+    high = F.max(F.when(F.expr("first <= ceil(at) AND last >= ceil(at)"), F.col("v")))
+    part = F.first("at") - F.floor(F.first("at"))
+    return hits.groupBy("share").agg((low * (1 - part) + high * part).alias("value"))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Points (id, x, y; right b_id, bx, by) within a radius: 3 x 3 cells of its size."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))

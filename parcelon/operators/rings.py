@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -11,14 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+
 _SIDES = T.StructType([T.StructField("length", T.DoubleType()), T.StructField("width", T.DoubleType())])
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; only where that is unset (tests), in a local folder."""
+    """A checkpoint in a folder that all machines share (see session.scratch)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parcelon-"))
+        spark.sparkContext.setCheckpointDir(scratch(spark))
     return df.checkpoint()
 
 

@@ -3,6 +3,8 @@
 A rule has attribute fields (blank: any value), an optional code and optional closed bounds of a
 point. `classify` compiles the rules into one CASE chain, which stays within code generation and
 keeps the order lazily; `classify_join` joins a rules table instead, for tables too long for that.
+Both fail where a rule that matches by name needs a code or a point that the record lacks, unless an
+earlier rule has matched.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ BOUNDS = ["lon_min", "lon_max", "lat_min", "lat_max"]
 
 def attributes_match(rule: dict) -> Column:
     """Blank fields match anything; a rule with a code needs the record's code."""
-    tests = [F.col(a) == rule[a] for a in ATTRIBUTES if rule.get(a)]
+    tests = [F.coalesce(a, F.lit("")) == rule[a] for a in ATTRIBUTES if rule.get(a)]
     found = reduce(lambda a, b: a & b, tests, F.lit(True))
     if rule.get("code"):
         missing = F.raise_error(F.lit(f"rule {rule['rule_id']} needs a code")).cast("boolean")
-        found = found & F.when(F.col("code") == "", missing).otherwise(F.col("code") == rule["code"])
+        found = found & F.when(F.coalesce("code", F.lit("")) == "", missing).otherwise(F.col("code") == rule["code"])
     return found
 
 
@@ -47,13 +49,42 @@ def classify(records: DataFrame, rules: list[dict], output: str = "zone", value:
     return records.withColumn(output, chain.cast("int"))
 
 
+#: Rules that a theta join sends to every task; a longer table meets the records by the attribute
+#: in which its rules differ most.
+BROADCAST_RULES = 10_000
+
+
 def classify_join(records: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """The same by a theta join with a rules table of a checked size, least rule id first."""
-    r = F.broadcast(rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns)))
-    wild = lambda a: (F.col(f"r_{a}") == "") | (F.col(f"r_{a}") == F.col(a))
-    within = (F.col("r_lon_min").isNull() | (F.col("lon") >= F.col("r_lon_min"))) & (F.col("r_lon_max").isNull() | (F.col("lon") <= F.col("r_lon_max"))) & (F.col("r_lat_min").isNull() | (F.col("lat") >= F.col("r_lat_min"))) & (F.col("r_lat_max").isNull() | (F.col("lat") <= F.col("r_lat_max")))
-    on = reduce(lambda a, b: a & b, (wild(a) for a in [*ATTRIBUTES, "code"])) & within
-    return records.join(r, on, "left").groupBy(key).agg(F.min_by("r_zone", "r_rule_id").cast("int").alias("zone"))
+    """key, zone of each record, as classify() gives it, by a join with a rules table."""
+    r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
+    row = "_row"
+    numbered = records.withColumn(row, F.monotonically_increasing_id())
+    wild = lambda a: (F.col(f"r_{a}") == "") | (F.col(f"r_{a}") == F.coalesce(a, F.lit("")))
+    on = reduce(lambda a, b: a & b, map(wild, ATTRIBUTES))
+    if rules.count() <= BROADCAST_RULES:
+        met = numbered.join(F.broadcast(r), on)
+    else:
+        # Rules with a blank field meet the records by a blank of their own.
+        most = max(ATTRIBUTES, key=lambda a: rules.select(a).distinct().count())
+        either = numbered.withColumn("_met", F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce(most, F.lit(""))))))
+        met = either.join(r, (F.col("_met") == F.col(f"r_{most}")) & on)
+    named = F.col("r_code") != ""
+    coded = F.coalesce("code", F.lit(""))
+    low = lambda n, v: F.col(n).isNull() | (v >= F.col(n))
+    high = lambda n, v: F.col(n).isNull() | (v <= F.col(n))
+    bounded = reduce(lambda a, b: a | b, (F.col(f"r_{b}").isNotNull() for b in BOUNDS))
+    within = low("r_lon_min", F.col("lon")) & high("r_lon_max", F.col("lon")) & low("r_lat_min", F.col("lat")) & high("r_lat_max", F.col("lat"))
+    verdict = (
+        F.when(named & (coded == ""), "code")
+        .when(named & (coded != F.col("r_code")), None)
+        .when(bounded & (F.col("lon").isNull() | F.col("lat").isNull()), "point")
+        .when(~bounded | within, "")
+    )
+    hits = met.withColumn("_need", verdict).where("_need IS NOT NULL")
+    first = hits.groupBy(row).agg(F.min(F.struct("r_rule_id", "r_zone", "_need")).alias("_first"))
+    fails = F.raise_error(F.concat(F.lit("rule "), F.col("_first.r_rule_id").cast("string"), F.lit(" needs a "), F.col("_first._need"))).cast("int")
+    zone = F.when(F.col("_first._need") != "", fails).otherwise(F.col("_first.r_zone").cast("int"))
+    return numbered.join(first, row, "left").select(key, zone.alias("zone"))
 
 
 def split_boxes(boxes: DataFrame, rules: list[dict]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def tagged(column: Column, tag: str) -> Column:
     """A value with its type's tag and its length, so that no two rows look alike by accident."""
-    text = column.cast("string")
+    text = F.hex(column) if tag.startswith("binary") else column.cast("string")
     return F.when(column.isNull(), F.lit("n;")).otherwise(F.concat(F.lit(tag), F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";")))
 
 
@@ -31,9 +33,23 @@ def row_hashes(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     return table.select(F.sha2(F.concat(*(tagged(F.col(c), t) for c, t in columns.items())), 256).alias("h"))
 
 
+def fingerprint_table(table: DataFrame, columns: dict[str, str], rows: int = 100_000) -> DataFrame:
+    """n_rows and sha as of a multiset, for tables of any size: rows are counted per hash, so that
+    copies are one row, and the hashes' leading digits make as many parts as keep each below `rows`."""
+    hashes = row_hashes(table, columns).groupBy("h").agg(F.count("*").alias("k"))
+    digits = max(1, math.ceil(math.log(max(2, hashes.count() / rows), 16)))
+    entry = F.concat("h", F.lit(":"), F.col("k").cast("string"))
+    parts = hashes.groupBy(F.substring("h", 1, digits).alias("p")).agg(F.sum("k").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256).alias("h"))
+    while digits > 4:  # parts of parts, four digits at a time
+        digits -= 4
+        parts = parts.groupBy(F.substring("p", 1, digits).alias("q")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), ""), 256).alias("h")).withColumnRenamed("q", "p")
+    return parts.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), ""), 256).alias("sha"))
+
+
 def fingerprint(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Multiset fingerprint: hashes of rows are counted per leading byte first, so that no task
-    gathers more than a 256th part of them; then the parts are hashed in order."""
+    gathers more than a 256th part of them; then the parts are hashed in order. Beyond some million
+    rows, fingerprint_table() takes as many parts as the rows need."""
     parts = row_hashes(table, columns).groupBy(F.substring("h", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
     return parts.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), ""), 256).alias("sha"))
 

@@ -39,7 +39,11 @@ def _sql(v) -> str:
     return "NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 
 
-RULES_SQL = "rules(" + ", ".join(FIELDS) + ") AS (VALUES " + ", ".join("(" + ", ".join(_sql(r.get(f, "" if f in FIELDS[2:7] else None)) for f in FIELDS) + ")" for r in RULES) + ")"
+def rules_sql(rules: list[dict]) -> str:
+    return "rules(" + ", ".join(FIELDS) + ") AS (VALUES " + ", ".join("(" + ", ".join(_sql(r.get(f, "" if f in FIELDS[2:7] else None)) for f in FIELDS) + ")" for r in rules) + ")"
+
+
+RULES_SQL = rules_sql(RULES)
 
 RECORDS_SQL = """records AS (SELECT c_custkey AS id, r_name AS prefecture, '' AS subprefecture, c_mktsegment AS county, n_name AS municipality,
   lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS code, CAST(c_custkey * 7 % 180 AS DOUBLE) AS lon, CAST(c_custkey * 11 % 90 AS DOUBLE) AS lat

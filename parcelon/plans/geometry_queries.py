@@ -98,8 +98,10 @@ def arc_length(spark, sf):
 @query(_S + f", t AS (SELECT {_LEN} AS d FROM s) SELECT count(*) AS n, count(*) FILTER (WHERE d = 0) AS zero, count(*) FILTER (WHERE d > 3) AS longer, " + ", ".join(f"round(quantile_cont(d, {q}), 6) AS p{n}" for q, n in ((0.5, "50"), (0.9, "90"), (0.99, "99"), (0.999, "999"), (1.0, "100"))) + " FROM t")
 def segment_stats(spark, sf):
     t = ring_segments(spark, sf).select(G.length().alias("d"))
-    a = t.agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("zero"), F.count_if(F.col("d") > 3).alias("longer"), F.expr("percentile(d, array(0.5, 0.9, 0.99, 0.999, 1.0))").alias("p"))
-    return a.select("n", "zero", "longer", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p{n}") for i, n in enumerate(("50", "90", "99", "999", "100"))))
+    a = t.agg(F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("zero"), F.count_if(F.col("d") > 3).alias("longer"))
+    shares = {"50": 0.5, "90": 0.9, "99": 0.99, "999": 0.999, "100": 1.0}
+    q = G.exact_quantiles(t, "d", list(shares.values())).agg(*(F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 6).alias(f"p{n}") for n, s in shares.items()))
+    return a.join(F.broadcast(q), F.lit(True))  # one row each
 
 
 _FEATURES = _S + f", a AS (SELECT ring, {_SPHERE} AS area FROM s GROUP BY ring), f AS (SELECT ring // 4 AS fid, ring, row_number() OVER (PARTITION BY ring // 4 ORDER BY ring) - 1 AS idx, area FROM a)"

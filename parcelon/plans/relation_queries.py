@@ -51,8 +51,12 @@ _TAU = 1e-9
 
 
 def diagonals(spark, sf):
+    return diagonals_of(boxes(spark, sf))
+
+
+def diagonals_of(found):
     up = c("id") % 2 == 0
-    return boxes(spark, sf).select("*", c("xmin").alias("x0"), F.when(up, c("ymin")).otherwise(c("ymax")).alias("y0"), c("xmax").alias("x1"), F.when(up, c("ymax")).otherwise(c("ymin")).alias("y1"))
+    return found.select("*", c("xmin").alias("x0"), F.when(up, c("ymin")).otherwise(c("ymax")).alias("y0"), c("xmax").alias("x1"), F.when(up, c("ymax")).otherwise(c("ymin")).alias("y1"))
 
 
 def _crossed(s: str, o: str) -> str:
@@ -60,10 +64,15 @@ def _crossed(s: str, o: str) -> str:
     return f"(({p} > {_TAU} AND {q} < -{_TAU}) OR ({p} < -{_TAU} AND {q} > {_TAU}))"
 
 
-@query(_DIAG + f" SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id AND a.brand <> b.brand AND {_MEET} WHERE {_crossed('a', 'b')} AND {_crossed('b', 'a')}")
+#: The boxes widened, so that diagonals cross.
+_WIDE = _DIAG.replace("g AS (SELECT *,", "w AS (SELECT id, brand, xmin - 2 AS xmin, ymin - 2 AS ymin, xmax + 2 AS xmax, ymax + 2 AS ymax FROM box), g AS (SELECT *,").replace("END AS y1 FROM box)", "END AS y1 FROM w)")
+
+
+@query(_WIDE + f" SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id < b.id AND a.brand <> b.brand AND {_MEET} WHERE {_crossed('a', 'b')} AND {_crossed('b', 'a')}")
 def segment_crossings(spark, sf):
     """Segments of different features that cross properly: each parts the ends of the other by more than a tolerance."""
-    g = diagonals(spark, sf)
+    wide = boxes(spark, sf).select("id", "brand", *((c(f"{n}{m}") + by).alias(f"{n}{m}") for n in "xy" for m, by in (("min", -2), ("max", 2))))
+    g = diagonals_of(wide)
 
     def crossed(s: str, o: str):
         side = lambda n: (c(f"{s}x1") - c(f"{s}x0")) * (c(f"{o}y{n}") - c(f"{s}y0")) - (c(f"{s}y1") - c(f"{s}y0")) * (c(f"{o}x{n}") - c(f"{s}x0"))

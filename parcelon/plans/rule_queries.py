@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..operators import rules as R
 from .fixtures import BOUND_SQL, MATCH_SQL, RECORDS_SQL, RULES, RULES_SQL, ZONED_SQL, T, boxes, records, rules_frame
 from .fixtures import BOXES_SQL
@@ -152,14 +154,22 @@ def crossing_summary(spark, sf):
     return box_zones(spark, sf).groupBy("prefecture", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS rec, n_name AS name, s_name AS partner FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) b USING (k)")
+@query(f"WITH {BOXES_SQL}, a AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS rec, p_name AS name FROM part), b AS (SELECT row_number() OVER (ORDER BY id) - 1 AS rec, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax FROM box) SELECT rec, name, xmin, ymax FROM a JOIN b USING (rec)")
 def positional_join(spark, sf):
-    """Rows of two tables by position; sources give the position, here a total order does."""
-    from pyspark.sql import Window
-
-    a = T(spark, sf, "nation").withColumn("k", F.row_number().over(Window.orderBy("n_nationkey")))
-    b = T(spark, sf, "supplier").withColumn("k", F.row_number().over(Window.orderBy("s_suppkey")))
-    return a.join(b, "k").select(F.col("n_nationkey").alias("rec"), F.col("n_name").alias("name"), F.col("s_name").alias("partner"))
+    """Attributes and shapes by their place, which sources give and here a total order does; a place
+    that one side lacks fails."""
+    a = placed(T(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    b = placed(boxes(spark, sf).select("id", F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax")))
+    return sources.positional_join(a.drop("id"), b.drop("id")).select("rec", "name", "xmin", "ymax")
+
+
+def placed(rows):
+    """rec, the place in the order of id: places before each range of ids, then within the range."""
+    t = rows.withColumn("r", F.floor(F.col("id") / 4096))
+    base = t.groupBy("r").agg(F.count("*").alias("n"))
+    base = base.select("r", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("r").orderBy("id")) - 1 + F.col("base")
+    return t.join(base, "r").withColumn("rec", place.cast("long")).drop("r", "base")
 
 
 @query("SELECT substr(lpad(CAST(o_custkey AS VARCHAR), 6, '0'), 1, 5) || '0' AS prefix, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")

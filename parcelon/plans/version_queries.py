@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import geometry as G
 from ..operators import versions as V
 from .fixtures import BOXES_SQL, T, boxes
 
@@ -72,7 +73,9 @@ def audit_totals(spark, sf):
 def difference_stats(spark, sf):
     a, b = two(spark, sf)
     d = F.col("b.price") - F.col("a.price")
-    return a.alias("a").join(b.alias("b"), "k").agg(F.round(F.min(d), 4).alias("least"), F.round(F.median(d), 4).alias("middle"), F.round(F.max(d), 4).alias("most"))
+    found = a.alias("a").join(b.alias("b"), "k").select(d.alias("d"))
+    q = G.exact_quantiles(found, "d", [0.0, 0.5, 1.0])
+    return q.agg(*(F.round(F.max(F.when(F.col("share") == s, F.col("value"))), 4).alias(n) for n, s in (("least", 0.0), ("middle", 0.5), ("most", 1.0))))
 
 
 @query(_TWO + " SELECT status, prio, count(*) AS n FROM (SELECT status, prio FROM a EXCEPT ALL SELECT status, prio FROM b) GROUP BY ALL")

@@ -1,12 +1,12 @@
 """Spark data source "dbf": dBASE III tables.
 
 Options: path, encoding (utf-8), deleted ("skip", or "keep" to get them flagged), records (rows a
-partition). Records have one length, so a partition is a range of them and is read by seeking; the
+partition), columns (names to decode, separated by commas; one that the file lacks is left out). Records have one length, so a partition is a range of them and is read by seeking; the
 file must lie where every executor can open it. Columns: rec (place in the file, from 0), deleted,
 then each field as text without its padding. A truncated file fails.
 
-The writer takes text columns in the order of the option fields ("name:bytes,..."); rec and deleted
-are left out if they are no fields. Tasks write parts beside the target, in a folder that all
+The writer takes columns in the order of the option fields ("name:bytes,..."; bytes like N4 make a
+numeric field, whose text stands to the right); rec and deleted are left out if they are no fields. Tasks write parts beside the target, in a folder that all
 executors share, and the commit appends them to one file in the order of the partitions. Text that
 does not fit its field fails rather than be cut, and so does a file that is there already, unless
 the mode is overwrite.
@@ -44,6 +44,17 @@ def layout(path: str) -> tuple[int, int, int, list[tuple[str, int]]]:
     return records, start, width, fields
 
 
+def chosen(options: dict) -> set[str] | None:
+    return {n.strip() for n in options["columns"].split(",")} if "columns" in options else None
+
+
+def field(described: str) -> tuple[str, str, int]:
+    """Name, kind and bytes of a field such as CODE:5 or ZONE:N2."""
+    name, size = described.rsplit(":", 1)
+    size = size.strip()
+    return name.strip(), size[0] if size[0] in "CN" else "C", int(size.lstrip("CN"))
+
+
 class Span(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -54,6 +65,7 @@ class DbfReader(DataSourceReader):
         self.path = options["path"].removeprefix("file://")
         self.encoding = options.get("encoding", "utf-8")
         self.keep = options.get("deleted", "skip") == "keep"
+        self.chosen = chosen(options)
         self.step = int(options.get("records", 500_000))
 
     def partitions(self) -> list[Span]:
@@ -72,8 +84,9 @@ class DbfReader(DataSourceReader):
                 if gone and not self.keep:
                     continue
                 values, at = [], 1
-                for _, size in fields:
-                    values.append(row[at : at + size].decode(self.encoding).strip(" \0"))
+                for name, size in fields:
+                    if self.chosen is None or name in self.chosen:
+                        values.append(row[at : at + size].decode(self.encoding).strip(" \0"))
                     at += size
                 yield (rec, gone, *values)
 
@@ -89,9 +102,8 @@ class DbfWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.encoding = options.get("encoding", "utf-8")
-        pairs = [f.rsplit(":", 1) for f in options["fields"].split(",")]
-        self.fields = [(name.strip(), int(size)) for name, size in pairs]
-        wrong = [name for name, size in self.fields if len(name.encode("ascii")) > 10 or not 0 < size < 255]
+        self.fields = [field(f) for f in options["fields"].split(",")]
+        wrong = [name for name, _, size in self.fields if len(name.encode("ascii")) > 10 or not 0 < size < 255]
         if wrong:
             raise ValueError(f"fields that dBASE can't hold: {wrong}")
         if not overwrite and os.path.exists(self.path):
@@ -106,22 +118,22 @@ class DbfWriter(DataSourceWriter):
         with open(path, "xb") as file:
             for row in iterator:
                 file.write(b" ")
-                for name, size in self.fields:
+                for name, kind, size in self.fields:
                     value = ("" if row[name] is None else str(row[name])).encode(self.encoding)
                     if len(value) > size:
                         raise ValueError(f"{name}: over {size} bytes")
-                    file.write(value.ljust(size))
+                    file.write(value.rjust(size) if kind == "N" else value.ljust(size))
                 rows += 1
         return Part(number, path, rows)
 
     def commit(self, messages: list) -> None:
         parts = sorted((m for m in messages if m), key=lambda m: m.partition)
-        rows, width = sum(p.rows for p in parts), 1 + sum(size for _, size in self.fields)
+        rows, width = sum(p.rows for p in parts), 1 + sum(size for _, _, size in self.fields)
         whole = f"{self.path}.{uuid.uuid4().hex}"
         with open(whole, "xb") as file:
             file.write(struct.pack("<B3xIHH20x", 3, rows, _HEADER.size + _FIELD.size * len(self.fields) + 1, width))
-            for name, size in self.fields:
-                file.write(_FIELD.pack(name.encode("ascii"), b"C", size))
+            for name, kind, size in self.fields:
+                file.write(_FIELD.pack(name.encode("ascii"), kind.encode(), size))
             file.write(b"\r")
             for part in parts:
                 with open(part.path, "rb") as body:
@@ -140,7 +152,8 @@ class DbfSource(DataSource):
         return "dbf"
 
     def schema(self) -> StructType:
-        fields = layout(self.options["path"].removeprefix("file://"))[3]
+        fields, wanted = layout(self.options["path"].removeprefix("file://"))[3], chosen(dict(self.options))
+        fields = [f for f in fields if wanted is None or f[0] in wanted]
         return StructType([StructField("rec", LongType()), StructField("deleted", BooleanType()), *(StructField(n, StringType()) for n, _ in fields)])
 
     def reader(self, schema: StructType) -> DbfReader:
