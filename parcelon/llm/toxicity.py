@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ PREFIXES = (4, 5)
 #: most that one document pulls (a document labelled 1 that scores 0 would pull without bound).
 EPOCHS, RATE, SHRINK = 80, 0.3, 4e-5
 START, BIAS, PULL = 0.5, -5.0, 50.0
+#: The bias of a model that has learned nothing.
+NEVER = -30.0
 #: A sentence of this score is offending.
 OFFENDING = 0.5
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -119,28 +122,32 @@ class Model:
 def train(texts: list[str], labels: list[int]) -> Model:
     """Proximal gradient descent (Adam steps, then shrinking) on the log loss of documents
     through the noisy-or."""
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    # Documents labelled 1 say which features can count; the others are searched for those only.
+    bad_docs, clean = {}, {}
     for text, y in zip(texts, labels, strict=True):
-        mine = counts[y]
-        for f in {f for w in set(words_of(text)) for f in features(w)}:
-            mine[f] = mine.get(f, 0) + 1
+        if y:
+            for f in {f for w in set(words_of(text)) for f in features(w)}:
+                bad_docs[f] = bad_docs.get(f, 0) + 1
+    bad_docs = {f: n for f, n in bad_docs.items() if n >= LEAST_DOCS}
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            for f in {f for w in set(words_of(text)) for f in features(w) if f in bad_docs}:
+                clean[f] = clean.get(f, 0) + 1
     share = max(1, sum(labels)) / max(1, len(labels))
     # Features whose documents are labelled 1 more often than chance would have it.
-    clean, rank = counts[0], {}
-    for f, n in counts[1].items():
-        if n >= LEAST_DOCS:
-            total = n + clean.get(f, 0)
-            rank[f] = (n - share * total) / (share * (1 - share) * total + 1) ** 0.5
-    del counts, clean
+    rank = {}
+    for f, n in bad_docs.items():
+        total = n + clean.get(f, 0)
+        rank[f] = (n - share * total) / (share * (1 - share) * total + 1) ** 0.5
     vocab = {f: i for i, f in enumerate(sorted(f for f, r in rank.items() if r > 1))}
     if not vocab or len(set(labels)) < 2:
-        return Model({}, -30.0)
-    rows, cols, doc = [], [], []
+        return Model({}, NEVER)
+    rows, cols, doc = array("q"), array("q"), array("q")
     for d, text in enumerate(texts):
         for s in sentences(text):
             known = [vocab[f] for w in set(words_of(s)) for f in features(w) if f in vocab]
-            rows += [len(doc)] * len(known)
-            cols += known
+            rows.extend([len(doc)] * len(known))
+            cols.extend(known)
             doc.append(d)
     rows, cols, doc, y = np.array(rows, np.int64), np.array(cols, np.int64), np.array(doc), np.array(labels, float)
     w, bias = np.full(len(vocab), START), BIAS
@@ -169,8 +176,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes:
     found = docs.select("doc_id", text_of().alias("text")).join(known, "doc_id")
     found = found.orderBy("order", "doc_id", "text").limit(rows)  # ids may repeat
     size = F.sum(F.octet_length("text")).over(Window.orderBy("order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("size", size).where(F.col("size") <= most_bytes).collect()
-    return train([r["text"] for r in found], [int(r["toxic"]) for r in found])
+    found = found.withColumn("size", size).where(F.col("size") <= most_bytes).select("text", F.col("toxic").cast("int").alias("toxic"))
+
+    # The sample is one partition by now: it is trained on where it lies, and the driver gets weights.
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        model = train(texts, labels)
+        names = [None, *model.weights]
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array([model.bias, *model.weights.values()], pa.float64())], ["feature", "weight"])
+
+    weights = dict(found.mapInArrow(learn, "feature string, weight double").collect())
+    return Model({f: w for f, w in weights.items() if f is not None}, weights.get(None, NEVER))
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score", spans: str | None = None, text: str = "text") -> DataFrame:
