@@ -163,7 +163,7 @@ _BYTES = pa.schema([("value", pa.binary())])
 
 
 def write_text(records: DataFrame, path: str, end: str) -> None:
-    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
