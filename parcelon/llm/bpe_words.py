@@ -159,7 +159,9 @@ def encode_decode(docs: DataFrame, spec: str, folder: str | None = None, text: s
     owners = parts_for(total, OWNER_BYTES, least=8)
     buckets = max(owners, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = bucketed(split_blocks(rows, spec, owners), folder, "blocks", "block", buckets)
-    found = encode_words(blocks, spec).repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("owner", "ids")).alias("found"))
+    # Used twice below; the filter, which a join would add for itself, keeps both plans the same, so
+    # that words are encoded and sent once.
+    found = encode_words(blocks, spec).where("block IS NOT NULL").repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("owner", "ids")).alias("found"))
     vocabulary = spark.createDataFrame(list(enumerate(piece_table(spec))), "id int, piece binary")
     used = used_pieces(found, vocabulary).repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
     joined = blocks.select("block", "doc_ids", "counts", "codes").join(found.hint("merge"), "block", "left").join(used.hint("merge"), "block", "left")
