@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import parts as P
 from ..operators import rings as R
 from .fixtures import SEGMENTS_SQL, VERTICES_SQL, T, ring_segments as segments_of, vertices
 
@@ -69,3 +70,33 @@ def scalar_formats(spark, sf):
     k = F.col("c_custkey")
     angle = F.format_string("%d°%02d′%02d″", k % 180, k % 60, k % 59)
     return T(spark, sf, "customer").select(k.alias("id"), S.short_id("gap-", F.col("c_name")).alias("short_id"), S.is_code(F.lpad(k.cast("string"), 5, "0")).alias("is_code"), S.dms_to_degrees(angle).alias("degrees"))
+
+
+_PARTS = """b AS (SELECT p_partkey AS k, p_partkey // 8 AS rec, CAST(p_partkey * 7 % 13 AS DOUBLE) AS x, CAST(p_partkey * 5 % 11 AS DOUBLE) AS y, 3.0 + p_size % 4 AS w, p_size % 9 AS s FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY k) - 1 AS i FROM b)"""
+
+
+def box_records(spark, sf):
+    """Records of eight boxes: each a clockwise shell and a hole that may lie in it, in another or in
+    none; every fifth record has boxes only, counterclockwise."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    b = T(spark, sf, "part").select(k.alias("k"), F.floor(k / 8).alias("rec"), (k * 7 % 13).cast("double").alias("x"), (k * 5 % 11).cast("double").alias("y"), (s % 4 + 3).cast("double").alias("w"), (s % 9).alias("s"))
+
+    def ring(x, y, w, corners):
+        return F.array(*(F.struct((x + a * w).alias("x"), (y + c * w).alias("y")) for a, c in corners))
+
+    left = ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+    shell = lambda corners: ring(F.col("x"), F.col("y"), F.col("w"), corners)
+    hole = ring(F.col("x") + F.col("s") + 0.5, F.col("y") + 1.5, F.lit(0.25), left)
+    rings = F.when(F.col("rec") % 5 == 0, F.array(shell(left))).otherwise(F.array(shell(left[::-1]), hole))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", rings.alias("rings")))), lambda v: v["rings"])
+    return b.groupBy("rec").agg(F.flatten(listed).alias("rings"))
+
+
+@query(f"""WITH {_PARTS} SELECT rec, CAST(i AS INTEGER) AS ring, 'shell' AS role, CAST(i AS INTEGER) AS shell FROM r WHERE rec % 5 = 0
+UNION ALL SELECT rec, CAST(2 * i AS INTEGER), 'shell', CAST(2 * i AS INTEGER) FROM r WHERE rec % 5 <> 0
+UNION ALL SELECT a.rec, CAST(2 * a.i + 1 AS INTEGER), 'hole', CAST(min(2 * o.i) AS INTEGER) FROM r a LEFT JOIN r o ON a.rec = o.rec AND o.x < a.x + a.s + 0.5 AND a.x + a.s + 0.5 < o.x + o.w AND o.y < a.y + 1.5 AND a.y + 1.5 < o.y + o.w
+WHERE a.rec % 5 <> 0 GROUP BY a.rec, a.i""")
+def shells_and_holes(spark, sf):
+    """Rings of records as shells and holes with their shells."""
+    return P.shells_and_holes(box_records(spark, sf)).drop("points")
