@@ -117,18 +117,68 @@ def cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
 
 
+#: Levels of the grid of box_join: cells of the size times 4 to the power of each.
+LEVELS = range(-12, 13)
+
+
+def levels_of(one: DataFrame, other: DataFrame) -> list[int]:
+    """The levels that occur, at most as many as LEVELS has; level 0 if there is none."""
+    return sorted(one.union(other).agg(F.collect_set("level")).first()[0]) or [0]
+
+
 def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False) -> DataFrame:
     """Pairs of boxes (id, xmin, ymin, xmax, ymax; right with prefix b_) that overlap or touch.
 
-    A range join becomes an equi-join on grid cells; a pair that meets in several cells is
-    reported in the cell of the lower left corner of the overlap only.
+    A range join becomes an equi-join on cells of nested grids. A box belongs to the level whose cells
+    are about as wide as it is, so it touches few cells however wide it is, and is looked up in those
+    of the wider levels that occur (a first job finds them). A pair meets at the level of its wider
+    box, where all that shares a cell is near: a dense cell costs in proportion to what it yields.
+    Boxes without extent belong to the narrowest level. A pair that meets in several cells is reported
+    in that of the lower left corner of the overlap only. A box with a null bound meets none.
     """
-    a = left.withColumn("cx", F.explode(cells(F.col("xmin"), F.col("xmax"), size))).withColumn("cy", F.explode(cells(F.col("ymin"), F.col("ymax"), size)))
-    b = right.withColumn("cx", F.explode(cells(F.col("b_xmin"), F.col("b_xmax"), size))).withColumn("cy", F.explode(cells(F.col("b_ymin"), F.col("b_ymax"), size)))
+
+    def level(p: str) -> Column:
+        wide = F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
+        step = F.ceil(F.log2(F.when(wide > 0, wide) / size) / 2)
+        return F.when(wide > 0, F.least(F.lit(LEVELS[-1]), F.greatest(F.lit(LEVELS[0]), step)).cast("int"))
+
+    levels = levels_of(left.select(level("").alias("level")), right.select(level("b_").alias("level")))
+
+    def placed(rows: DataFrame, p: str) -> DataFrame:
+        # The wider box of a pair, or both, are the own ones (way 1: that of the left).
+        own = F.coalesce(level(p), F.lit(levels[0]))
+        ways = []
+        for n in levels:
+            for way, meets in ((1, own == n if not p else own <= n), (2, own < n if not p else own == n)):
+                ways.append(F.when(meets, F.struct(F.lit(way).alias("way"), F.lit(n).alias("level"), F.lit(size * 4.0**n).alias("wide"))))
+        found = rows.withColumn("at", F.explode(F.array_compact(F.array(*ways))))
+        for n in "xy":
+            span = F.sequence(*(F.floor(F.col(f"{p}{n}{m}") / F.col("at.wide")).cast("long") for m in ("min", "max")))
+            found = found.withColumn(f"c{n}", F.explode(span))
+        return found.select(*rows.columns, F.col("at.way").alias("way"), F.col("at.level").alias("level"), "cx", "cy", *([] if p else [F.col("at.wide").alias("wide")]))
+
     meet = (F.col("xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("ymax"))
-    home = (F.floor(F.greatest("xmin", "b_xmin") / size) == F.col("cx")) & (F.floor(F.greatest("ymin", "b_ymin") / size) == F.col("cy"))
-    joined = a.join(b, ["cx", "cy"]).where(meet & home)
-    return (joined.where("id < b_id") if same else joined).drop("cx", "cy")
+    home = (F.floor(F.greatest("xmin", "b_xmin") / F.col("wide")) == F.col("cx")) & (F.floor(F.greatest("ymin", "b_ymin") / F.col("wide")) == F.col("cy"))
+    joined = placed(left, "").join(placed(right, "b_"), ["way", "level", "cx", "cy"]).where(meet & home)
+    return (joined.where("id < b_id") if same else joined).drop("way", "level", "wide", "cx", "cy")
+
+
+def points_in_rings(points: DataFrame, segments: DataFrame, width: float, height: float) -> DataFrame:
+    """pid, ring: points (pid, px, py) in rings (closed segments) by even-odd parity.
+
+    A point meets, in the cell that it lies in, the segments that a ray from it to larger x may cross:
+    those that touch the cell's band, of rings that begin no further right, up to their own end.
+    So nothing outside a ring's bounds is tested. All that a point meets of a ring lies in its one
+    cell, so the count needs no shuffle after that of the join. The cell should be about as wide as
+    a ring and as high as a segment, or lower.
+    """
+    begin = F.min(F.least("x0", "x1")).over(Window.partitionBy("ring"))
+    s = segments.withColumn("begin", begin)
+    s = s.withColumn("cy", F.explode(cells(F.least("y0", "y1"), F.greatest("y0", "y1"), height)))
+    s = s.withColumn("cx", F.explode(cells(F.col("begin"), F.greatest("x0", "x1"), width)))
+    p = points.select("pid", "px", "py", F.floor(F.col("px") / width).alias("cx"), F.floor(F.col("py") / height).alias("cy"))
+    crossed = s.join(p, ["cx", "cy"]).where((F.col("px") >= F.col("begin")) & crosses_ray("px", "py"))
+    return crossed.groupBy("cx", "cy", "pid", "ring").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("pid", "ring")
 
 
 def alike_rings(left: DataFrame, right: DataFrame, tolerance: float, most: float) -> DataFrame:
@@ -197,7 +247,8 @@ def exact_quantiles(values: DataFrame, column: str, shares: list[float], bins: i
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Points (id, x, y; right b_id, bx, by) within a radius: 3 x 3 cells of its size."""
+    """Points (id, x, y; right b_id, bx, by) within a radius: 3 x 3 cells of its size. A third of the
+    points that share these cells are within it, so even a dense cell costs what it yields."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = left.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
     b = right.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))

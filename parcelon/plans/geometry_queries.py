@@ -171,14 +171,10 @@ hit AS (SELECT pid, ring FROM p JOIN s ON (y0 > py) <> (y1 > py) AND px < x0 + (
 
 
 def ring_hits(spark, sf):
-    """Points in rings by even-odd parity. Points meet segments in bands of latitude: an equi-join;
-    within a band the ray test decides."""
+    """Points in rings by even-odd parity; a cell is as wide as these rings are."""
     k = F.col("s_suppkey")
     p = T(spark, sf, "supplier").select(k.alias("pid"), (130.003 + (k * 37 % 500) / 100.0).alias("px"), (30.0007 + (k * 53 % 600) / 100.0).alias("py"))
-    band = 0.05
-    s = ring_segments(spark, sf).withColumn("band", F.explode(G.cells(F.least("y0", "y1"), F.greatest("y0", "y1"), band)))
-    joined = s.join(p.withColumn("band", F.floor(F.col("py") / band)), "band").where(G.crosses_ray("px", "py"))
-    return p, joined.groupBy("pid", "ring").agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    return p, G.points_in_rings(p, ring_segments(spark, sf), 5.0, 0.05)
 
 
 @query(_PIP + " SELECT pid, ring FROM hit")
