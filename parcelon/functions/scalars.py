@@ -58,3 +58,14 @@ def geometry_flags(column: Column) -> Column:
     byte = F.conv(F.hex(F.substring(column, 4, 1)), 16, 10).cast("int")
     bits = lambda at, mask: F.shiftright(byte, at).bitwiseAND(F.lit(mask))
     return F.struct((bits(0, 1) == 1).alias("little_endian"), bits(1, 7).alias("envelope"), (bits(4, 1) == 1).alias("empty"))
+
+
+def double_bytes(column: Column) -> Column:
+    """The eight bytes of a double by IEEE 754, big-endian; NaNs are all the same."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), column.cast("double")).cast("long")
+    return F.when(column.isNotNull(), F.unhex(F.lpad(F.hex(bits), 16, "0")))
+
+
+def length_bytes(column: Column) -> Column:
+    """The number of bytes of a text or binary as eight bytes, big-endian."""
+    return F.unhex(F.lpad(F.hex(F.octet_length(column).cast("long")), 16, "0"))

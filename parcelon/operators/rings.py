@@ -1,7 +1,8 @@
-"""Dissolve of clean coverages into ordered rings, and least rectangles around rings."""
+"""Dissolve of clean coverages into ordered rings; least rectangles, signatures and local measures."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.wkb import encode
 from ..session import scratch
+from .geometry import cross, length, local_plane, segments
 
 _SIDES = T.StructType([T.StructField("length", T.DoubleType()), T.StructField("width", T.DoubleType())])
 
@@ -116,6 +119,34 @@ def least_rectangle(points: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(made, columns=["length", "width"], dtype=float)
 
 
+def normal_ring(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Closed, clockwise, from its least vertex; the same for each start and direction."""
+    ring = points[:-1] if len(points) > 1 and points[0] == points[-1] else points
+    # The sum starts at the first vertex, so that the sign of a small ring's area is sure.
+    (ax, ay), n = ring[0], len(ring)
+    twice = sum((ring[i][0] - ax) * (ring[(i + 1) % n][1] - ay) - (ring[(i + 1) % n][0] - ax) * (ring[i][1] - ay) for i in range(n))
+    ring = ring[::-1] if twice > 0 else ring
+    at = ring.index(min(ring))
+    return [*ring[at:], *ring[:at], ring[at]]
+
+
+@F.pandas_udf(T.StringType())
+def wkb_signature(points: pd.Series) -> pd.Series:
+    """SHA-256 of the well-known binary of a polygon of one normal ring; null for none or an empty one."""
+    made = [None if p is None or not len(p) else hashlib.sha256(encode([[normal_ring([(q["x"], q["y"]) for q in p])]])).hexdigest() for p in points]
+    return pd.Series(made, dtype=object)
+
+
+def local_measures(vertices: DataFrame) -> DataFrame:
+    """ring, area, perimeter, length, width, aspect: in metres on the ring's own plane; the sides are
+    those of the least rectangle, and a ring without width has no aspect."""
+    plane = local_plane(vertices)
+    sizes = segments(plane).groupBy("ring").agg((F.abs(F.sum(cross())) / 2).alias("area"), F.sum(length()).alias("perimeter"))
+    boxes = ring_arrays(plane).select("ring", least_rectangle("points").alias("r"))
+    aspect = F.col("r.length") / F.nullif(F.col("r.width"), F.lit(0.0))
+    return sizes.join(boxes, "ring").select("ring", "area", "perimeter", "r.length", "r.width", aspect.alias("aspect"))
+
+
 def ring_arrays(vertices: DataFrame) -> DataFrame:
     """ring, points: the vertices of each ring in order."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))

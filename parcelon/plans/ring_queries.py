@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions import scalars as S
+from ..operators import geometry as G
 from ..operators import parts as P
 from ..operators import rings as R
+from ..session import scratch
 from .fixtures import SEGMENTS_SQL, VERTICES_SQL, T, ring_segments as segments_of, vertices
 
 QUERIES, SQL = {}, {}
@@ -100,3 +103,33 @@ WHERE a.rec % 5 <> 0 GROUP BY a.rec, a.i""")
 def shells_and_holes(spark, sf):
     """Rings of records as shells and holes with their shells."""
     return P.shells_and_holes(box_records(spark, sf)).drop("points")
+
+
+_W = 1 / 298.257223563
+_W2, _WE = repr(_W * (2 - _W)), repr((_W * (2 - _W)) ** 0.5)
+_WQ = lambda y: f"((1 - {_W2}) * (sin(radians({y})) / (1 - {_W2} * sin(radians({y})) * sin(radians({y}))) + atanh({_WE} * sin(radians({y}))) / {_WE}))"
+
+
+@query(f"WITH {SEGMENTS_SQL} SELECT ring, round(abs(sum(radians(x1 - x0) * ({_WQ('y0')} + {_WQ('y1')}))) * {G.AXIS**2 / 4!r} / 1e6, 3) AS km2 FROM s GROUP BY ring")
+def ring_area_wgs84(spark, sf):
+    return segments_of(spark, sf).groupBy("ring").agg(F.round(G.wgs84_area() / 1e6, 3).alias("km2"))
+
+
+_SIN2 = f"(1 - {G.ECCENTRICITY2!r} * sin(radians(lat)) * sin(radians(lat)))"
+
+
+@query(f"""WITH {SEGMENTS_SQL}, c AS (SELECT ring, (min(x) + max(x)) / 2 AS lon, (min(y) + max(y)) / 2 AS lat FROM v GROUP BY ring),
+k AS (SELECT ring, lon, lat, {G.AXIS} / sqrt({_SIN2}) * cos(radians(lat)) AS e, {G.AXIS} * (1 - {G.ECCENTRICITY2!r}) / ({_SIN2} * sqrt({_SIN2})) AS n FROM c),
+p AS (SELECT ring, radians(x0 - lon) * e AS ax, radians(y0 - lat) * n AS ay, radians(x1 - lon) * e AS bx, radians(y1 - lat) * n AS by_ FROM s JOIN k USING (ring))
+SELECT ring, round(abs(sum(ax * by_ - bx * ay)) / 2 / 1e6, 3) AS km2, round(sum(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)) / 1000, 4) AS km FROM p GROUP BY ring""")
+def ring_local_measures(spark, sf):
+    """Area and perimeter of each ring on its own plane."""
+    s = G.segments(G.local_plane(vertices(spark, sf)))
+    return s.groupBy("ring").agg(F.round(F.abs(F.sum(G.cross())) / 2 / 1e6, 3).alias("km2"), F.round(F.sum(G.length()) / 1000, 4).alias("km"))
+
+
+@query("SELECT o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY 1")
+def typed_copy(spark, sf):
+    """Rows in one folder per type, held against the table by fingerprint, and their numbers."""
+    rows = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderpriority").alias("kind"))
+    return sinks.typed_copy(rows, "kind", f"{scratch(spark)}/by_kind").groupBy("kind").agg(F.count("*").alias("n"))

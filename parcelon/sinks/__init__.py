@@ -1,5 +1,5 @@
-"""Writers: CSV tables, GeoJSON, audit bundles, runs that can be taken up again. All refuse to
-overwrite what is there."""
+"""Writers: CSV tables, GeoJSON, audit bundles, snapshots, copies by type, runs that can be taken up
+again. All refuse to overwrite what is there."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.versions import fingerprint_table
+
 NEW = "errorifexists"
 
 
@@ -88,3 +90,35 @@ def resumed(spark: SparkSession, inputs: DataFrame, key: str, work, path: str) -
         made = work(inputs.join(todo, [key, "input_sha"], "left_semi"))
         made.join(todo, key).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(wanted, [key, "input_sha"], "left_semi")
+
+
+def _print_of(rows: DataFrame) -> tuple:
+    return tuple(fingerprint_table(rows, {c: f"{t}:" for c, t in rows.dtypes}).first())
+
+
+def snapshot(rows: DataFrame, folder: str) -> None:
+    """The rows as Parquet and, last, their number and fingerprint: a snapshot without one is not whole."""
+    rows.write.mode(NEW).parquet(f"{folder}/rows")
+    n, sha = _print_of(rows.sparkSession.read.parquet(f"{folder}/rows"))
+    if (n, sha) != _print_of(rows):
+        raise ValueError(f"{folder}: what was written differs from the rows")
+    rows.sparkSession.createDataFrame([(n, sha)], "n_rows long, sha string").write.mode(NEW).json(f"{folder}/fingerprint")
+
+
+def restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a snapshot; fails if they are not those that were written."""
+    rows = spark.read.parquet(f"{folder}/rows")
+    wanted = spark.read.schema("n_rows long, sha string").json(f"{folder}/fingerprint").first()
+    if wanted is None or tuple(wanted) != _print_of(rows):
+        raise ValueError(f"{folder}: the rows differ from their fingerprint")
+    return rows
+
+
+def typed_copy(rows: DataFrame, kind: str, path: str) -> DataFrame:
+    """A copy in one folder per type, read again; fails if it differs, as with a type that no folder
+    can be named after."""
+    rows.write.mode(NEW).partitionBy(kind).parquet(path)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+    if _print_of(back) != _print_of(rows):
+        raise ValueError(f"{path}: the copy differs from the rows")
+    return back
