@@ -55,7 +55,9 @@ def wgs84_area() -> Column:
 
 def local_plane(vertices: DataFrame) -> DataFrame:
     """ring, seq, x, y in metres on the plane that touches the ellipsoid in the middle of the ring's
-    bounds: for rings of some hundred metres, where it is off by less than a millionth."""
+    bounds. The scale eastward is that of the middle, so a measure may be off by half the ring's height
+    over the radius, times the tangent of the latitude: about a millionth for rings of some ten metres
+    at middle latitudes, more in proportion to their size."""
     ring = Window.partitionBy("ring")
     middle = lambda n: (F.min(n).over(ring) + F.max(n).over(ring)) / 2
     v = vertices.select("ring", "seq", "x", "y", middle("x").alias("lon"), middle("y").alias("lat"))
@@ -156,7 +158,8 @@ def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False)
     A range join becomes an equi-join on cells of nested grids. A box belongs to the level whose cells
     are about as wide as it is, so it touches few cells however wide it is, and is looked up in those
     of the wider levels that occur (a first job finds them). A pair meets at the level of its wider
-    box, where all that shares a cell is near: a dense cell costs in proportion to what it yields.
+    box, where all that shares a cell is near, unless boxes are long and thin: then a dense cell costs
+    about in proportion to what it yields.
     Boxes without extent belong to the narrowest level. A pair that meets in several cells is reported
     in that of the lower left corner of the overlap only. A box with a null bound meets none.
     """
