@@ -158,8 +158,8 @@ def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False)
     A range join becomes an equi-join on cells of nested grids. A box belongs to the level whose cells
     are about as wide as it is, so it touches few cells however wide it is, and is looked up in those
     of the wider levels that occur (a first job finds them). A pair meets at the level of its wider
-    box, where all that shares a cell is near, unless boxes are long and thin: then a dense cell costs
-    about in proportion to what it yields.
+    box, where all that shares a cell is near, so that a dense cell costs about in proportion to what
+    it yields. This does not hold for long, thin boxes, whose cells are much wider than they are.
     Boxes without extent belong to the narrowest level. A pair that meets in several cells is reported
     in that of the lower left corner of the overlap only. A box with a null bound meets none.
     """
