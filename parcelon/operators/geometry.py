@@ -143,6 +143,12 @@ def cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """For a side of a join that explode() made: Spark estimates it by the bytes of its files, however
+    many rows come of one, so it would send a large side to the driver and broadcast it."""
+    return rows.hint("merge")
+
+
 #: Levels of the grid of box_join: cells of the size times 4 to the power of each.
 LEVELS = range(-12, 13)
 
@@ -152,6 +158,13 @@ def levels_of(one: DataFrame, other: DataFrame) -> list[int]:
     return sorted(one.union(other).agg(F.collect_set("level")).first()[0]) or [0]
 
 
+def box_level(size: float, p: str = "") -> Column:
+    """The level whose cells are about as wide as a box; null if it has no extent."""
+    wide = F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
+    step = F.ceil(F.log2(F.when(wide > 0, wide) / size) / 2)
+    return F.when(wide > 0, F.least(F.lit(LEVELS[-1]), F.greatest(F.lit(LEVELS[0]), step)).cast("int"))
+
+
 def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False) -> DataFrame:
     """Pairs of boxes (id, xmin, ymin, xmax, ymax; right with prefix b_) that overlap or touch.
 
@@ -163,12 +176,7 @@ def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False)
     Boxes without extent belong to the narrowest level. A pair that meets in several cells is reported
     in that of the lower left corner of the overlap only. A box with a null bound meets none.
     """
-
-    def level(p: str) -> Column:
-        wide = F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
-        step = F.ceil(F.log2(F.when(wide > 0, wide) / size) / 2)
-        return F.when(wide > 0, F.least(F.lit(LEVELS[-1]), F.greatest(F.lit(LEVELS[0]), step)).cast("int"))
-
+    level = lambda p: box_level(size, p)
     levels = levels_of(left.select(level("").alias("level")), right.select(level("b_").alias("level")))
 
     def placed(rows: DataFrame, p: str) -> DataFrame:
@@ -186,10 +194,41 @@ def box_join(left: DataFrame, right: DataFrame, size: float, same: bool = False)
 
     meet = (F.col("xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("ymax"))
     home = (F.floor(F.greatest("xmin", "b_xmin") / F.col("wide")) == F.col("cx")) & (F.floor(F.greatest("ymin", "b_ymin") / F.col("wide")) == F.col("cy"))
-    joined = placed(left, "").join(placed(right, "b_"), ["way", "level", "cx", "cy"]).where(meet & home)
+    joined = shuffled(placed(left, "")).join(shuffled(placed(right, "b_")), ["way", "level", "cx", "cy"]).where(meet & home)
     return (joined.where("id < b_id") if same else joined).drop("way", "level", "wide", "cx", "cy")
 
 
+def outer_boxes(boxes: DataFrame) -> DataFrame:
+    """xmin, ymin, xmax, ymax: boxes that cover together what all do. Of those with the same lower left
+    corner, one that lies in the widest goes."""
+    corner = Window.partitionBy("xmin", "ymin")
+    far = F.max(F.struct("xmax", "ymax")).over(corner)
+    b = boxes.select("xmin", "ymin", "xmax", "ymax").distinct().withColumn("far", far)
+    return b.where((F.col("xmax") == F.col("far.xmax")) & (F.col("ymax") == F.col("far.ymax")) | (F.col("ymax") > F.col("far.ymax"))).drop("far")
+
+
+def uncovered(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """The points (px, py; further columns stay) that lie in no box, nor on the edge of one.
+
+    Boxes lie in the cells of their level, as in box_join; a point is in one cell of each. The levels
+    follow one another from the widest, so each meets only what is left, and a point is tested until
+    the first box that holds it.
+    """
+    b = outer_boxes(boxes.select("xmin", "ymin", "xmax", "ymax").dropna()).withColumn("level", box_level(size))
+    levels = levels_of(b.select("level"), b.select("level").limit(0))
+    b = b.withColumn("level", F.coalesce("level", F.lit(levels[0])))
+    left = points
+    for n in reversed(levels):
+        wide = size * 4.0**n
+        own = b.where(F.col("level") == n).drop("level")
+        for x in "xy":
+            own = own.withColumn(f"c{x}", F.explode(cells(F.col(f"{x}min"), F.col(f"{x}max"), wide)))
+        holds = F.col("px").between(F.col("xmin"), F.col("xmax")) & F.col("py").between(F.col("ymin"), F.col("ymax"))
+        at = left.withColumns({f"p_c{x}": F.floor(F.col(f"p{x}") / wide) for x in "xy"})
+        left = shuffled(at).join(shuffled(own), (F.col("p_cx") == F.col("cx")) & (F.col("p_cy") == F.col("cy")) & holds, "left_anti").drop("p_cx", "p_cy")
+    return left
+
+
 def points_in_rings(points: DataFrame, segments: DataFrame, width: float, height: float) -> DataFrame:
     """pid, ring: points (pid, px, py) in rings (closed segments) by even-odd parity.
 
@@ -274,14 +313,15 @@ def exact_quantiles(values: DataFrame, column: str, shares: list[float], bins: i
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Points (id, x, y; right b_id, bx, by) within a radius: 3 x 3 cells of its size. A third of the
-    points that share these cells are within it, so even a dense cell costs what it yields."""
+    """Points (id, x, y; right b_id, bx, by; further columns stay) within a radius: 3 x 3 cells of its
+    size. A third of the points that share these cells are within it, so even a dense cell costs what
+    it yields."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = left.withColumn("cx", F.floor(F.col("x") / radius)).withColumn("cy", F.floor(F.col("y") / radius))
     b = right.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
-    b = b.select("b_id", "bx", "by", (F.floor(F.col("bx") / radius) + F.col("ox")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("oy")).alias("cy"))
+    b = b.select(*right.columns, (F.floor(F.col("bx") / radius) + F.col("ox")).alias("cx"), (F.floor(F.col("by") / radius) + F.col("oy")).alias("cy"))
     d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
-    return a.join(b, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).drop("cx", "cy")
+    return shuffled(a).join(shuffled(b), ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).drop("cx", "cy")
 
 
 def ring_signature(points: Column) -> Column:
