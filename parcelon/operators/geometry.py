@@ -285,7 +285,7 @@ def chord_pairs(places: DataFrame, radius: float) -> DataFrame:
     for v in "xyz":
         b = b.withColumn(f"c{v}", F.explode(F.array(*(F.floor(F.col(f"b{v}") / radius) + o for o in (-1, 0, 1)))))
     d = F.sqrt(sum(((F.col(v) - F.col(f"b{v}")) * (F.col(v) - F.col(f"b{v}")) for v in "xyz"), F.lit(0.0)))
-    return a.join(b, ["cx", "cy", "cz"]).where("id < b_id").withColumn("d", d).where(F.col("d") <= radius).select(F.col("id").alias("a"), F.col("b_id").alias("b"), "d")
+    return shuffled(a).join(shuffled(b), ["cx", "cy", "cz"]).where("id < b_id").withColumn("d", d).where(F.col("d") <= radius).select(F.col("id").alias("a"), F.col("b_id").alias("b"), "d")
 
 
 def exact_quantiles(values: DataFrame, column: str, shares: list[float], bins: int = 4096) -> DataFrame:
