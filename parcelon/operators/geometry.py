@@ -229,22 +229,58 @@ def uncovered(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     return left
 
 
-def points_in_rings(points: DataFrame, segments: DataFrame, width: float, height: float) -> DataFrame:
-    """pid, ring: points (pid, px, py) in rings (closed segments) by even-odd parity.
-
-    A point meets, in the cell that it lies in, the segments that a ray from it to larger x may cross:
-    those that touch the cell's band, of rings that begin no further right, up to their own end.
-    So nothing outside a ring's bounds is tested. All that a point meets of a ring lies in its one
-    cell, so the count needs no shuffle after that of the join. The cell should be about as wide as
-    a ring and as high as a segment, or lower.
+#: Parts that the rings of a cell are dealt to; each part meets all places of the cell.
+PARTS = 16
+
+
+def ring_classes(segments: DataFrame) -> DataFrame:
+    """class, ring: rings of the same sides, whatever their order, by the least ring of them; sides: an
+    array of x0, y0, x1, y1. A row for each class, with its rings and their number n."""
+    sides = F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1")))
+    # Plain numbers, as structs take half as much again in the exchange.
+    flat = F.flatten(F.transform(sides, lambda s: F.array(s["x0"], s["y0"], s["x1"], s["y1"])))
+    r = segments.groupBy("ring").agg(flat.alias("flat"))
+    r = r.groupBy("flat").agg(F.min("ring").alias("class"), F.collect_list("ring").alias("rings"), F.count("*").alias("n"))
+    side = lambda i: F.struct(*(F.get("flat", 4 * i + k).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))))
+    return r.select("class", "rings", "n", F.transform(F.sequence(F.lit(0), (F.size("flat") / 4).cast("int") - 1), side).alias("sides"))
+
+
+def places_in_classes(places: DataFrame, classes: DataFrame, width: float, height: float) -> DataFrame:
+    """px, py, class of the distinct places (px, py) in the rings of a class (see ring_classes; n stays)
+    by even-odd parity.
+
+    A ring goes whole to the cells that its bounds touch, and meets the places of each; only sides of
+    rings whose bounds hold a place are tested. Cells should be about as wide and high as a ring or
+    somewhat less: then few rows are sent, however long the sides are. All that a place meets of a
+    ring lies in its one cell, so the count needs no shuffle after that of the join.
     """
-    begin = F.min(F.least("x0", "x1")).over(Window.partitionBy("ring"))
-    s = segments.withColumn("begin", begin)
-    s = s.withColumn("cy", F.explode(cells(F.least("y0", "y1"), F.greatest("y0", "y1"), height)))
-    s = s.withColumn("cx", F.explode(cells(F.col("begin"), F.greatest("x0", "x1"), width)))
-    p = points.select("pid", "px", "py", F.floor(F.col("px") / width).alias("cx"), F.floor(F.col("py") / height).alias("cy"))
-    crossed = s.join(p, ["cx", "cy"]).where((F.col("px") >= F.col("begin")) & crosses_ray("px", "py"))
-    return crossed.groupBy("cx", "cy", "pid", "ring").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("pid", "ring")
+    over = lambda f, *n: f(F.flatten(F.transform("sides", lambda s: F.array(*(s[k] for k in n)))))
+    slack = 1e-9  # degrees: a crossing is computed, so it may lie beyond the ends of its side
+    ends = [over(f, f"{x}0", f"{x}1").alias(f"{x}{m}") for x in "xy" for m, f in (("min", F.array_min), ("max", F.array_max))]
+    r = classes.select("class", "n", "sides", F.pmod(F.xxhash64("class"), F.lit(PARTS)).alias("part"), *ends)
+    r = r.withColumn("cy", F.explode(cells(F.col("ymin"), F.col("ymax"), height)))
+    r = r.withColumn("cx", F.explode(cells(F.col("xmin") - slack, F.col("xmax") + slack, width)))
+    p = places.select("px", "py", F.floor(F.col("px") / width).alias("cx"), F.floor(F.col("py") / height).alias("cy"))
+    p = p.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    held = F.col("px").between(F.col("xmin") - slack, F.col("xmax") + slack) & (F.col("py") >= F.col("ymin")) & (F.col("py") < F.col("ymax"))
+    met = shuffled(r).join(shuffled(p), ["cx", "cy", "part"]).where(held).select("cx", "cy", "part", "px", "py", "class", "n", F.inline("sides"))
+    return met.where(crosses_ray("px", "py")).groupBy("cx", "cy", "part", "px", "py", "class", "n").agg((F.count("*") % 2).alias("odd")).where("odd = 1").select("px", "py", "class", "n")
+
+
+def points_in_rings(points: DataFrame, segments: DataFrame, width: float, height: float) -> DataFrame:
+    """pid, ring: points (pid, px, py) in rings (closed segments) by even-odd parity, see
+    places_in_classes. Of equal points and of equal rings one is tested."""
+    classes = ring_classes(segments)
+    hits = places_in_classes(points.select("px", "py").distinct(), classes, width, height)
+    found = shuffled(hits.select("px", "py", "class")).join(shuffled(classes.select("class", "rings")), "class")
+    return found.select("px", "py", F.explode("rings").alias("ring")).join(points.select("pid", "px", "py"), ["px", "py"]).select("pid", "ring")
+
+
+def ring_counts(points: DataFrame, segments: DataFrame, width: float, height: float) -> DataFrame:
+    """pid, n: the number of rings that each point is in, see points_in_rings; no pair is made of copies."""
+    hits = places_in_classes(points.select("px", "py").distinct(), ring_classes(segments), width, height)
+    n = hits.groupBy("px", "py").agg(F.sum("n").alias("n"))
+    return points.join(n, ["px", "py"], "left").select("pid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def alike_rings(left: DataFrame, right: DataFrame, tolerance: float, most: float) -> DataFrame:

@@ -170,22 +170,24 @@ _PIP = _S + """, p AS (SELECT s_suppkey AS pid, 130.003 + (s_suppkey * 37 % 500)
 hit AS (SELECT pid, ring FROM p JOIN s ON (y0 > py) <> (y1 > py) AND px < x0 + (py - y0) * (x1 - x0) / (y1 - y0) GROUP BY pid, ring HAVING count(*) % 2 = 1)"""
 
 
-def ring_hits(spark, sf):
-    """Points in rings by even-odd parity; a cell is as wide as these rings are."""
+def targets(spark, sf):
     k = F.col("s_suppkey")
-    p = T(spark, sf, "supplier").select(k.alias("pid"), (130.003 + (k * 37 % 500) / 100.0).alias("px"), (30.0007 + (k * 53 % 600) / 100.0).alias("py"))
-    return p, G.points_in_rings(p, ring_segments(spark, sf), 5.0, 0.05)
+    return T(spark, sf, "supplier").select(k.alias("pid"), (130.003 + (k * 37 % 500) / 100.0).alias("px"), (30.0007 + (k * 53 % 600) / 100.0).alias("py"))
+
+
+#: A cell is as wide as these rings are, and a third as high.
+_CELL = 5.0, 1.0
 
 
 @query(_PIP + " SELECT pid, ring FROM hit")
 def point_in_ring(spark, sf):
-    return ring_hits(spark, sf)[1].select("pid", "ring")
+    """Points in rings by even-odd parity."""
+    return G.points_in_rings(targets(spark, sf), ring_segments(spark, sf), *_CELL)
 
 
 @query(_PIP + " SELECT pid, count(ring) AS n FROM p LEFT JOIN hit USING (pid) GROUP BY pid")
 def point_cover_counts(spark, sf):
-    p, hits = ring_hits(spark, sf)
-    return p.join(hits.groupBy("pid").agg(F.count("*").alias("n")), "pid", "left").select("pid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return G.ring_counts(targets(spark, sf), ring_segments(spark, sf), *_CELL)
 
 
 _MEET = "a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax"

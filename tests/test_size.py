@@ -44,7 +44,7 @@ def copies(tmp_path_factory):
     return str(folder), con
 
 
-COPIED = ["assign_fallback"]
+COPIED = ["assign_fallback", "point_cover_counts", "point_in_ring"]
 
 
 @pytest.mark.parametrize("name", COPIED)
