@@ -231,6 +231,45 @@ def uncovered(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
 
 SIDE = "x0", "y0", "x1", "y1"
 
+def crossing_pairs(segments: DataFrame, tolerance: float, across: float, thin: float, apart: str) -> DataFrame:
+    """a, b (a < b): segments (id, x0, y0, x1, y1) that differ in the column `apart` and cross properly:
+    each parts the ends of the other by more than a tolerance.
+
+    Bounds are taken along the diagonals of the plane (u = x + y, v = x - y), where rising segments are
+    long in u and falling ones in v. A rising and a falling segment meet in square cells of the width
+    `across`; two of the same direction in cells that are `across` * 8 long and `thin` wide, as they
+    cross only where they are close. Other widths give the same pairs. A pair that meets in several
+    cells is reported in that of the lower left corner of the overlap only.
+    """
+    c, slack = F.col, 1e-9  # bounds are sums of rounded coordinates
+    ends = {f"{n}{m}": f(c("x0") + k * c("y0"), c("x1") + k * c("y1")) + by for n, k in (("u", 1), ("v", -1)) for m, f, by in (("min", F.least, -slack), ("max", F.greatest, slack))}
+    s = segments.select("id", apart, "x0", "y0", "x1", "y1").withColumns(ends)
+    up = (c("x1") - c("x0")) * (c("y1") - c("y0")) >= 0
+    long = across * 8
+    kind = lambda k, u, v: F.struct(F.lit(k).alias("kind"), F.lit(float(u)).alias("wu"), F.lit(float(v)).alias("wv"))
+    mixed, rising, falling = kind(0, across, across), kind(1, long, thin), kind(2, thin, long)
+
+    def placed(kinds: Column) -> DataFrame:
+        found = s.withColumn("at", F.explode(kinds)).select(*s.columns, "at.*")
+        for n in "uv":
+            found = found.withColumn(f"c{n}", F.explode(F.sequence(*(F.floor(c(f"{n}{m}") / c(f"w{n}")).cast("long") for m in ("min", "max")))))
+        return found
+
+    left = placed(F.when(up, F.array(mixed, rising)).otherwise(F.array(falling)))
+    right = placed(F.when(up, F.array(rising)).otherwise(F.array(mixed, falling))).drop("wu", "wv")
+    right = right.select("kind", "cu", "cv", *(c(n).alias(f"b_{n}") for n in s.columns))
+
+    def parted(p: str, o: str) -> Column:
+        side = lambda n: (c(f"{p}x1") - c(f"{p}x0")) * (c(f"{o}y{n}") - c(f"{p}y0")) - (c(f"{p}y1") - c(f"{p}y0")) * (c(f"{o}x{n}") - c(f"{p}x0"))
+        return ((side(0) > tolerance) & (side(1) < -tolerance)) | ((side(0) < -tolerance) & (side(1) > tolerance))
+
+    meet = (c("umin") <= c("b_umax")) & (c("b_umin") <= c("umax")) & (c("vmin") <= c("b_vmax")) & (c("b_vmin") <= c("vmax"))
+    home = (F.floor(F.greatest("umin", "b_umin") / c("wu")) == c("cu")) & (F.floor(F.greatest("vmin", "b_vmin") / c("wv")) == c("cv"))
+    once = (c("kind") == 0) | (c("id") < c("b_id"))
+    met = shuffled(left).join(shuffled(right), ["kind", "cu", "cv"]).where(meet & once & home & (c(apart) != c(f"b_{apart}")) & parted("", "b_") & parted("b_", ""))
+    return met.select(F.least("id", "b_id").alias("a"), F.greatest("id", "b_id").alias("b"))
+
+
 #: Parts that the rings of a cell are dealt to; each part meets all places of the cell.
 PARTS = 16
 

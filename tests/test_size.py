@@ -12,7 +12,7 @@ from .conftest import SF
 from .test_grid import BOX, many_boxes
 from .test_queries import rows
 
-GRID_JOINS = ["bbox_self_overlap", "chord_pairs", "exterior_screen", "hole_cover_fraction", "nested_containment"]
+GRID_JOINS = ["bbox_self_overlap", "chord_pairs", "exterior_screen", "hole_cover_fraction", "nested_containment", "segment_crossings"]
 
 
 @pytest.mark.parametrize("name", GRID_JOINS)
@@ -44,7 +44,7 @@ def copies(tmp_path_factory):
     return str(folder), con
 
 
-COPIED = ["assign_fallback", "hausdorff_partners", "point_cover_counts", "point_in_ring", "signature_match"]
+COPIED = ["assign_fallback", "hausdorff_partners", "point_cover_counts", "point_in_ring", "segment_crossings", "signature_match"]
 
 
 @pytest.mark.parametrize("name", COPIED)
@@ -61,3 +61,18 @@ def test_equal_zones_are_met_once(spark, copies, monkeypatch):
     folder, con = copies
     registry.QUERIES["assign_fallback"](spark, folder)
     assert met == [con.sql("SELECT count(DISTINCT (s_suppkey * 37 % 100, s_suppkey * 53 % 99)) FROM supplier").fetchall()[0][0]]
+
+
+@pytest.mark.parametrize("across, thin", [(1.0, 0.25), (0.3, 2.0)])
+def test_crossing_pairs(spark, across, thin):
+    made = random.Random(6)
+    at = lambda: made.choice((made.uniform(-3, 3), float(made.randint(-3, 3))))
+    lines = [(i, i % 3, at(), at(), at(), at()) for i in range(120)] + [(120 + i, i % 3, x, 0.0, x, 1.0) for i, x in enumerate((0.0, 1.0, 2.0))]
+    found = G.crossing_pairs(spark.createDataFrame(lines, "id long, kind_of int, x0 double, y0 double, x1 double, y1 double"), 1e-9, across, thin, "kind_of")
+
+    def parts(p, o):
+        one, two = ((p[4] - p[2]) * (o[k + 1] - p[3]) - (p[5] - p[3]) * (o[k] - p[2]) for k in (2, 4))
+        return one > 1e-9 and two < -1e-9 or one < -1e-9 and two > 1e-9
+
+    want = [(p[0], q[0]) for p in lines for q in lines if p[0] < q[0] and p[1] != q[1] and parts(p, q) and parts(q, p)]
+    assert len(want) > 500 and sorted(map(tuple, found.collect())) == sorted(want)
