@@ -76,3 +76,15 @@ def test_crossing_pairs(spark, across, thin):
 
     want = [(p[0], q[0]) for p in lines for q in lines if p[0] < q[0] and p[1] != q[1] and parts(p, q) and parts(q, p)]
     assert len(want) > 500 and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["point_cover_counts", "point_in_ring"])
+def test_equal_rings_and_places_are_met_once(spark, copies, monkeypatch, name):
+    met, plain = [], G.places_in_classes
+    monkeypatch.setattr(G, "places_in_classes", lambda p, r, *more: met.append((p.count(), r.count(), r.agg({"n": "sum"}).first()[0])) or plain(p, r, *more))
+    folder, con = copies
+    registry.QUERIES[name](spark, folder)
+    places = con.sql("SELECT count(DISTINCT (s_suppkey * 37 % 500, s_suppkey * 53 % 600)) FROM supplier").fetchall()[0][0]
+    rings = con.sql("SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 3)").fetchall()[0][0]
+    ((p, classes, n),) = met
+    assert (p, n) == (places, rings) and classes <= rings / 3
