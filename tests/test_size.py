@@ -88,3 +88,9 @@ def test_equal_rings_and_places_are_met_once(spark, copies, monkeypatch, name):
     rings = con.sql("SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 3)").fetchall()[0][0]
     ((p, classes, n),) = met
     assert (p, n) == (places, rings) and classes <= rings / 3
+
+
+def test_nothing_is_shuffled_once_copies_are_paired(spark):
+    plan = registry.QUERIES["point_in_ring"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above, *below = plan.split("SortMergeJoin")
+    assert len(below) == 1 and above.count("Generate explode") == 2 and "Exchange" not in above
