@@ -8,8 +8,9 @@ and (term, t) its value. Two documents have equal samples with a probability equ
 generalised Jaccard similarity, sum of minima over sum of maxima, so the share of equal samples
 estimates it.
 
-Documents are dealt once, by runs of their order, to buckets of bounded bytes; everything after
-that (the next document, terms, weights, samples) needs no further shuffle of texts. Within a
+Documents are dealt once, by runs of their order, to buckets of bounded bytes, and written as a
+table by them; everything after that (the next document, terms, weights, samples) reads that table
+and needs no further shuffle of texts. Within a
 bucket the samples of a term and weight are drawn once, whatever the number of documents. The runs
 are found on ids, hashes and sizes alone: ranges of ids with too many bytes are split, by the ids
 that they hold, until each fits, so that neither outliers nor clusters of ids make a large bucket.
@@ -32,15 +33,18 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import parts_for, running_total, shared_dir, table, text_of, written
 
 SAMPLES = 32
 #: Text bytes for a bucket, and ranges of ids that are tried for each bucket.
 BUCKET_BYTES = 4 << 20
 CELLS = 16
+#: Spark's default limit on the buckets of a table; beyond it a file holds several of ours.
+MOST_FILES = 100_000
 #: For the stage that draws samples. Methods of more than 8000 bytes are never compiled by the
-#: JVM, so Spark shall split them; the terms of a bucket are few enough to group them by hash.
-SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "400000"}
+#: JVM, so Spark shall split them; terms that lie sorted are grouped in one pass, without hash tables.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.execution.replaceHashWithSortAgg": "true"}
 
 
 def unit(x: Column, shift: int, bits: int) -> Column:
@@ -144,8 +148,10 @@ def bucketed(docs: DataFrame, bucket_bytes: int, text: str, key: str, folder: st
     placed = rows.withColumn("k", k).withColumn("g", g).withColumn("node", F.array().cast("array<long>"))
     for level, (rule, copies) in enumerate(rules):
         placed = (descended if level else descended_root)(placed, rule, copies)
-    many = max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return placed.join(owners, "node").select("doc_id", "text", "h", "b").repartition(many, "b"), numbers.count()
+    many = min(MOST_FILES, max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = placed.join(owners, "node").select("doc_id", "text", "h", "b").repartition(many, "b")
+    # Left as an exchange, each later use would shuffle the texts again, and all of these stay on disk.
+    return common.bucketed(dealt, folder, "dealt", "b", many, "zstd"), numbers.count()
 
 
 def heads(rows: DataFrame, place: str, buckets: int, *columns: str) -> DataFrame:
@@ -187,7 +193,8 @@ def fingerprint_rows(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
     own, new = told(0, "own"), told(1, "new")
     kinds = F.when(F.col("own") == F.col("new"), F.array(told(2, "own"))).when(F.col("new") == 0, F.array(own)).when(F.col("own") == 0, F.array(new)).otherwise(F.array(own, new))
     pairs = weights.select("b", "x", F.explode(kinds).alias("k")).select("b", "x", "k.d", "k.tf")
-    shared = pairs.groupBy("b", "x", "tf").agg(F.collect_list("d").alias("in"))
+    # x comes first, as its leading bits decide nearly all comparisons of the sort.
+    shared = pairs.sortWithinPartitions("x", "tf", "b").groupBy("x", "tf", "b").agg(F.collect_list("d").alias("in"))
     drawn = shared.select("b", "in", "x", F.ln(F.col("tf").cast("double")).alias("w"))
     drawn = drawn.select("b", "in", F.array(*(sample(F.col("x"), F.col("w"), k) for k in range(samples))).alias("s"))
     each = drawn.select("b", "s", F.explode("in").alias("d"))

@@ -227,6 +227,17 @@ def test_buckets_are_bounded_whatever_the_ids(spark, ids):
     assert all(a[0] >= b[1] for a, b in zip(bounds, bounds[1:]))
 
 
+def test_dealt_texts_are_not_shuffled_again(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows, buckets = fingerprints.bucketed(docs, 4000, "text", "doc_id", shared_dir(spark))
+    assert buckets > 1
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(rows)
+    edited = fingerprints.edited_texts(rows, buckets, shared_dir(spark))
+    # Only the heads, one text of each bucket, travel to the bucket before.
+    assert plan(edited).count("Exchange") == 1 and plan(edited).index("Exchange") > plan(edited).index("Window")
+
+
 def test_a_text_larger_than_a_bucket(spark):
     docs = spark.createDataFrame([(i, "a b c " * (5000 if i == 3 else 5)) for i in range(9)], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs, bucket_bytes=200).collect()}
