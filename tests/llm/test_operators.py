@@ -1,10 +1,13 @@
 import hashlib
 import io
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from parcelon.llm import bpe, bpe_words, exact_dedup, fingerprints, interval_dedup, near_dedup, packing, secrets, token_files, toxicity, warc
@@ -109,6 +112,36 @@ def test_near_dedup(docs, none):
     assert near_dedup.near_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("at_once, calls", [(1, 80), (1 << 16, 1)])
+def test_short_documents_are_hashed_together(monkeypatch, at_once, calls):
+    monkeypatch.setattr(interval_dedup, "HASHED_BYTES", at_once, raising=False)
+    plain, met = interval_dedup.window_anchors, []
+    monkeypatch.setattr(interval_dedup, "window_anchors", lambda data: met.append(len(data)) or plain(data))
+    made = random.Random(4)
+    words = ["".join(made.choices("abc ", k=40)) for _ in range(12)]
+    texts = [(None if i % 9 == 8 else i % 70, "".join(made.choices(words, k=made.randint(0, 9)))[: made.randint(0, 300)].encode()) for i in range(120)]
+    row = {"block": [0], "doc_ids": [[k for k, _ in texts]], "sizes": [[len(t) for _, t in texts]], "data": [zstandard.compress(b"".join(t for _, t in texts))]}
+    anchors = [plain(np.frombuffer(t, np.uint8))[0].tolist() if k is not None else [] for k, t in texts]
+    owners = {}
+    for (k, _), own in zip(texts, anchors):
+        for a in own:
+            owners.setdefault(a, set()).add(k)
+    found = interval_dedup.block_anchors(pa.record_batch({k: pa.array(v) for k, v in row.items()}), 0, 60)
+    assert found.tolist() == sorted((a >> 4) << 1 | (len(ids) > 1) for a, ids in owners.items())
+    assert len(met) <= calls
+    # Every second shared anchor is hot; each window with a shared anchor lies in one place, with its bytes.
+    shared = np.array([(a >> 4) << 1 | i % 2 for i, a in enumerate(sorted(a for a, ids in owners.items() if len(ids) > 1))], np.uint64)
+    row["shared"] = [[interval_dedup.pack_sorted(shared)]]
+    seen, places = interval_dedup.block_segments(pa.record_batch({k: pa.array(v) for k, v in row.items()}), 0, 60)
+    names, windows = list(seen), []
+    for number, first, segment in places.tolist():
+        data, (low, high) = names[segment][1], seen[names[segment]][1:]
+        assert texts[number][1][first : first + len(data)] == data and low <= texts[number][0] <= high
+        windows += [(number, first + i) for i in range(len(data) - interval_dedup.SPAN + 1)]
+    assert sorted(windows) == [(n, i) for n, own in enumerate(anchors) for i, a in enumerate(own) if len(owners[a]) > 1]
+    assert len(windows) > 1000 and places[:, 0].tolist() == sorted(places[:, 0].tolist())
+
+
 def test_fingerprints(docs, none):
     got = fingerprints.fingerprints(docs).collect()
     by = {}
