@@ -164,10 +164,10 @@ def edited_texts(rows: DataFrame, buckets: int, folder: str) -> DataFrame:
     """b, rn, doc_id, text, edited: a third of the text replaced by the next document's start."""
     order = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
     ranked = rows.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    # The first document of each bucket: found by maxima, without moving any other text.
-    top = rows.groupBy("b").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "h")).alias("top"))
-    first = rows.join(top, "b").where(F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("h") == F.col("top.h")))
-    first = written(first.groupBy("b").agg(F.max("text").alias("text")).withColumn("one", F.lit(1)), folder, "heads")
+    # The first document of each bucket is a maximum of whole rows, found where they lie: a join with
+    # the maxima would take their ids and hashes as keys too, and so shuffle all texts.
+    top = rows.groupBy("b").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "h", "text")).alias("top"))
+    first = written(top.select("b", F.col("top.text").alias("text"), F.lit(1).alias("one")), folder, "heads")
     joined = ranked.join(heads(first, "one", buckets, "text").hint("merge"), "b")
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")

@@ -238,6 +238,25 @@ def test_dealt_texts_are_not_shuffled_again(spark, folder):
     assert plan(edited).count("Exchange") == 1 and plan(edited).index("Exchange") > plan(edited).index("Window")
 
 
+def test_heads_are_found_where_the_texts_lie(spark, folder, monkeypatch):
+    docs, plans, written = spark.read.parquet(f"{folder}/documents.parquet"), {}, fingerprints.written
+
+    def noted(df, at, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, at, name, *more)
+
+    rows, buckets = fingerprints.bucketed(docs, 4000, "text", "doc_id", shared_dir(spark))
+    monkeypatch.setattr(fingerprints, "written", noted)
+    work = shared_dir(spark)
+    fingerprints.edited_texts(rows, buckets, work)
+    assert "Exchange" not in plans["heads"]
+    heads = {r.b: r.text for r in spark.read.parquet(f"{work}/heads").collect()}
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r.b].append((r.doc_id is not None, r.doc_id or 0, r.h, r.text))
+    assert len(heads) == buckets and heads == {b: max(every)[3] for b, every in by.items()}
+
+
 def test_a_text_larger_than_a_bucket(spark):
     docs = spark.createDataFrame([(i, "a b c " * (5000 if i == 3 else 5)) for i in range(9)], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs, bucket_bytes=200).collect()}
