@@ -40,6 +40,9 @@ SAMPLES = 32
 #: Text bytes for a bucket, and ranges of ids that are tried for each bucket.
 BUCKET_BYTES = 4 << 20
 CELLS = 16
+#: So many bits of child numbers lie in one row of the owners. Owners and rules are broadcast whatever
+#: their size, as a join without that shuffles the texts once more; they have a few rows for a bucket.
+RANGE_BITS = 6
 #: Spark's default limit on the buckets of a table; beyond it a file holds several of ours.
 MOST_FILES = 100_000
 #: For the stage that draws samples. Methods of more than 8000 bytes are never compiled by the
@@ -80,8 +83,8 @@ def split_rules(stats: DataFrame, bits: Column, limit: int) -> DataFrame:
 
 def descended(rows: DataFrame, rules: DataFrame, copies: bool) -> DataFrame:
     """rows (k, g, node) with each node that has a rule replaced by its child. Copies of a row are
-    alike, so it does not matter which of them takes which turn."""
-    return stepped(rows.join(rules.drop("bytes"), "node", "left"), copies).drop("by", "shift", "base", "children")
+    alike, so it does not matter which of them takes which turn. Rules are fewer than buckets."""
+    return stepped(rows.join(F.broadcast(rules.drop("bytes")), "node", "left"), copies).drop("by", "shift", "base", "children")
 
 
 def descended_root(rows: DataFrame, rules: DataFrame, copies: bool) -> DataFrame:
@@ -130,6 +133,21 @@ def deal(keys: DataFrame, limit: int, cells: int, folder: str) -> tuple[list[tup
     return rules, every
 
 
+def place() -> list[Column]:
+    """Of a node: its parent, its child number and the range of child numbers with this one. The root,
+    which is a leaf only if there is no other, has 0."""
+    child = F.coalesce(F.get("node", F.size("node") - 1), F.lit(0).cast("long"))
+    parent = F.slice("node", 1, F.greatest(F.lit(0), F.size("node") - 1))
+    return [parent.alias("parent"), F.shiftright(child, RANGE_BITS).alias("range"), child.alias("child")]
+
+
+def owned(leaves: DataFrame) -> DataFrame:
+    """leaves (node, b) by ranges of child numbers: starts has the first child of each b. As b ascends
+    with the leaves, that of a leaf is the last one that starts at it or before."""
+    starts = leaves.select("b", *place()).groupBy("parent", "range", "b").agg(F.min("child").alias("child"))
+    return starts.groupBy("parent", "range").agg(F.sort_array(F.collect_list(F.struct("child", "b"))).alias("starts"))
+
+
 def bucketed(docs: DataFrame, bucket_bytes: int, text: str, key: str, folder: str) -> tuple[DataFrame, int]:
     """doc_id, text, h, b, and the number of buckets: b, from 0 on without gaps, is ascending in the
     descending order of documents."""
@@ -144,12 +162,13 @@ def bucketed(docs: DataFrame, bucket_bytes: int, text: str, key: str, folder: st
     filled = running_total(leaves, "node", "bytes", "before", folder, "leaves").select("node", F.floor(F.col("before") / bucket_bytes).alias("raw"))
     filled = written(filled, folder, "filled")
     numbers = running_total(filled.select("raw").distinct().withColumn("one", F.lit(1)), "raw", "one", "b", folder, "numbers").drop("one")
-    owners = written(filled.join(numbers, "raw").select("node", F.col("b").cast("int").alias("b")), folder, "owners")
+    owners = written(owned(filled.join(numbers, "raw").select("node", F.col("b").cast("int").alias("b"))), folder, "owners")
     placed = rows.withColumn("k", k).withColumn("g", g).withColumn("node", F.array().cast("array<long>"))
     for level, (rule, copies) in enumerate(rules):
         placed = (descended if level else descended_root)(placed, rule, copies)
     many = min(MOST_FILES, max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = placed.join(owners, "node").select("doc_id", "text", "h", "b").repartition(many, "b")
+    b = F.element_at(F.filter("starts", lambda x: x["child"] <= F.col("child")), -1)["b"].alias("b")
+    dealt = placed.select("doc_id", "text", "h", *place()).join(F.broadcast(owners), ["parent", "range"]).select("doc_id", "text", "h", b).repartition(many, "b")
     # Left as an exchange, each later use would shuffle the texts again, and all of these stay on disk.
     return common.bucketed(dealt, folder, "dealt", "b", many, "zstd"), numbers.count()
 

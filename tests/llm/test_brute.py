@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parcelon.llm import bpe, bpe_words, exact_dedup, fingerprints, interval_dedup, near_dedup, packing, registry, secrets, token_files, toxicity
+from parcelon.llm import bpe, bpe_words, common, exact_dedup, fingerprints, interval_dedup, near_dedup, packing, registry, secrets, token_files, toxicity
 from parcelon.llm.common import shared_dir
 
 from . import brute
@@ -227,6 +227,26 @@ def test_buckets_are_bounded_whatever_the_ids(spark, ids):
     assert all(a[0] >= b[1] for a, b in zip(bounds, bounds[1:]))
 
 
+@pytest.mark.parametrize("ids", ["dense", "clusters", "same"])
+def test_texts_are_dealt_in_one_shuffle_whatever_the_limit_on_broadcasts(spark, monkeypatch, ids):
+    make = {"dense": "id", "clusters": "shiftleft(id % 3, 50) + floor(id / 3)", "same": "7L"}[ids]
+    docs = spark.range(3000).selectExpr(f"cast({make} AS long) AS doc_id", "concat('text ', id, repeat(' x', 20)) AS text")
+    plans, written, limit = [], common.bucketed, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def noted(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *more)
+
+    monkeypatch.setattr(common, "bucketed", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, buckets = fingerprints.bucketed(docs, 4000, "text", "doc_id", shared_dir(spark))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert buckets > 20 and rows.count() == 3000
+    assert "SortMergeJoin" not in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+
+
 def test_dealt_texts_are_not_shuffled_again(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows, buckets = fingerprints.bucketed(docs, 4000, "text", "doc_id", shared_dir(spark))
