@@ -7,6 +7,7 @@ import pytest
 
 from parcelon.operators import geometry as G
 from parcelon.plans import registry
+from parcelon.plans.fixtures import vertices
 
 from .conftest import SF
 from .test_grid import BOX, many_boxes
@@ -94,3 +95,23 @@ def test_nothing_is_shuffled_once_copies_are_paired(spark):
     plan = registry.QUERIES["point_in_ring"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     above, *below = plan.split("SortMergeJoin")
     assert len(below) == 1 and above.count("Generate explode") == 2 and "Exchange" not in above
+
+
+def test_rings_are_classed_with_one_shuffle_by_ring_and_one_by_content(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    v = vertices(spark, SF)
+    assert plan(v).count("Exchange hashpartitioning") == 1 and plan(G.ring_classes(v, "x", "y")).count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("digits", [None, 1])
+def test_rings_of_one_table_meet_in_one_direction(spark, digits):
+    shapes = {1: [(0, 0), (1, 0), (1, 1)], 2: [(0, 0), (1, 0.01), (1, 1)], 3: [(4, 4), (5, 4), (5, 5)]}
+    like = {9: 1, 4: 2, 2: 1, 7: 1, 5: 3, 6: 2}  # rings by shape, the classes' least rings in another order
+    rows = [(r, i + 1, float(x), float(y)) for r, s in like.items() for i, (x, y) in enumerate(shapes[s])]
+    v = spark.createDataFrame(rows, "ring long, seq int, x double, y double")
+    found = {(r.ring, r.b_ring): r.d for r in G.alike_rings(v, v, 0.02, 0.1, True, digits).collect()}
+    far = 0.01 if digits is None else 0.0
+    want = {(a, b): 0.0 if like[a] == like[b] else far for a in like for b in like if a < b and (like[a] == 3) == (like[b] == 3)}
+    assert found == pytest.approx(want) and len(want) == 10
+    both = [tuple(r) for r in G.alike_rings(v, v, 0.02, 0.1).where("ring < b_ring").select("ring", "b_ring").collect()]
+    assert sorted(both) == sorted(found)
