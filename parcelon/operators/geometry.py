@@ -275,6 +275,14 @@ def crossing_pairs(segments: DataFrame, tolerance: float, across: float, thin: f
 
 #: Parts that the rings of a cell are dealt to; each part meets all places of the cell.
 PARTS = 16
+#: Sides of a ring that are tested without a lambda.
+UNROLLED = 8
+
+
+def here(value: Column) -> Column:
+    """The value, computed in this place of the plan: Spark takes it for one that depends on the
+    partition, so it moves no filter on what stands beside it onto the rows before they are grouped."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def ring_classes(rows: DataFrame, *names: str) -> DataFrame:
@@ -297,19 +305,28 @@ def places_in_classes(places: DataFrame, classes: DataFrame, width: float, heigh
     rings whose bounds hold a place are tested. Cells should be about as wide and high as a ring or
     somewhat less: then few rows are sent, however long the sides are. All that a place meets of a
     ring lies in its one cell and in one row, so sides are counted there and nothing is shuffled
-    after the join.
+    after the join. The first UNROLLED sides are terms of one expression, which is compiled; a
+    lambda tests those beyond them only. With the lambda in the condition the join itself is not
+    compiled as a whole, so the terms lie in methods small enough for the JVM to compile. Level
+    sides cross no ray.
     """
-    over = lambda f, *n: f(F.flatten(F.transform("parts", lambda s: F.array(*(s[k] for k in n)))))
+    standing = lambda s: (s["y0"] != s["y1"]) & s["x0"].isNotNull() & s["x1"].isNotNull()
+    flat = F.flatten(F.transform(F.filter("parts", standing), lambda s: F.array(*(s[n] for n in SIDE))))
+    every = lambda k: F.transform(F.sequence(F.lit(0), (F.size("flat") / 2).cast("int") - 1), lambda i: F.get("flat", 2 * i + k))
     slack = 1e-9  # degrees: a crossing is computed, so it may lie beyond the ends of its side
-    ends = [over(f, f"{x}0", f"{x}1").alias(f"{x}{m}") for x in "xy" for m, f in (("min", F.array_min), ("max", F.array_max))]
-    r = classes.select("*", F.pmod(F.xxhash64("class"), F.lit(PARTS)).alias("part"), *ends)
+    r = classes.withColumn("flat", flat).drop("parts")
+    r = r.select("*", here(F.pmod(F.xxhash64("class"), F.lit(PARTS))).alias("part"), *(f(every(k)).alias(f"{x}{m}") for k, x in enumerate("xy") for m, f in (("min", F.array_min), ("max", F.array_max))))
     r = r.withColumn("cy", F.explode(cells(F.col("ymin"), F.col("ymax"), height)))
     r = r.withColumn("cx", F.explode(cells(F.col("xmin") - slack, F.col("xmax") + slack, width)))
     p = places.select("*", F.floor(F.col("px") / width).alias("cx"), F.floor(F.col("py") / height).alias("cy"))
     p = p.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     held = F.col("px").between(F.col("xmin") - slack, F.col("xmax") + slack) & (F.col("py") >= F.col("ymin")) & (F.col("py") < F.col("ymax"))
-    odd = F.size(F.filter("parts", lambda s: crosses_ray("px", "py", lambda n: s[n]))) % 2 == 1
-    return shuffled(r).join(shuffled(p), ["cx", "cy", "part"]).where(held & odd).select(*places.columns, *(n for n in classes.columns if n != "parts"))
+    crosses = lambda k: crosses_ray("px", "py", lambda n: F.get("flat", 4 * k + SIDE.index(n)))
+    n = F.size("flat") / 4
+    some = lambda low, high: sum((F.when(crosses(F.lit(k)), 1).otherwise(0) for k in range(low, high)), F.lit(0))
+    more = F.size(F.filter(F.sequence(F.lit(UNROLLED), n.cast("int") - 1), crosses))
+    count = some(0, 4) + F.when(n > 4, some(4, UNROLLED)).otherwise(0) + F.when(n > UNROLLED, more).otherwise(0)
+    return shuffled(r).join(shuffled(p), ["cx", "cy", "part"]).where(held & (count % 2 == 1)).select(*places.columns, *(n for n in classes.columns if n != "parts"))
 
 
 def points_in_rings(points: DataFrame, segments: DataFrame, width: float, height: float) -> DataFrame:

@@ -115,3 +115,26 @@ def test_rings_of_one_table_meet_in_one_direction(spark, digits):
     assert found == pytest.approx(want) and len(want) == 10
     both = [tuple(r) for r in G.alike_rings(v, v, 0.02, 0.1).where("ring < b_ring").select("ring", "b_ring").collect()]
     assert sorted(both) == sorted(found)
+
+
+@pytest.mark.parametrize("name", ["point_cover_counts", "point_in_ring"])
+def test_rings_are_grouped_by_content_unfiltered(spark, name):
+    """A filter on what is made of a class would run on every ring, were it moved below the grouping."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Aggregate [flat#" in line)
+    assert "Aggregate [ring#" in plan[at + 1]
+
+
+def test_level_sides_and_many_sides(spark):
+    made = random.Random(8)
+    shapes = [[(made.randint(0, 4), made.randint(0, 4)) for _ in range(3 + r % 20)] for r in range(40)]
+    rows = [(r, i + 1, float(x), float(y)) for r, ring in enumerate(shapes) for i, (x, y) in enumerate(ring)]
+    places = [(5 * x + y, x - 0.25, float(y)) for x in range(6) for y in range(5)]
+
+    def inside(x, y, ring):
+        sides = zip(ring, ring[1:] + ring[:1], strict=True)
+        return sum((y0 > y) != (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) for (x0, y0), (x1, y1) in sides if y0 != y1) % 2 == 1
+
+    v = spark.createDataFrame(rows, "ring long, seq int, x double, y double")
+    found = G.ring_counts(spark.createDataFrame(places, "pid long, px double, py double"), G.segments(v), 2.0, 1.0)
+    assert sorted(map(tuple, found.collect())) == sorted((i, sum(inside(x, y, s) for s in shapes)) for i, x, y in places)
