@@ -138,3 +138,8 @@ def test_level_sides_and_many_sides(spark):
     v = spark.createDataFrame(rows, "ring long, seq int, x double, y double")
     found = G.ring_counts(spark.createDataFrame(places, "pid long, px double, py double"), G.segments(v), 2.0, 1.0)
     assert sorted(map(tuple, found.collect())) == sorted((i, sum(inside(x, y, s) for s in shapes)) for i, x, y in places)
+
+
+def test_places_meet_rings_in_a_given_number_of_parts(spark):
+    plan = registry.QUERIES["point_in_ring"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("SortMergeJoin")[1]
